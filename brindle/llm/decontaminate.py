@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import text_rows, with_fields
+from brindle.llm.common import cut, text_rows, with_fields
 
 WINDOW = 8
 #: Least literal (not placeholder) tokens of a window; windows with fewer say too little.
@@ -141,7 +141,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], item_col:
     only = np.sort(np.array(few, dtype=np.int64).view(np.uint64)) if len(few) <= SENT else None
     renamed = {c: f"__i{i}" for i, c in enumerate(id_cols)}
     mine = windows(docs.select(*id_cols, text_col).withColumnsRenamed(renamed), list(renamed.values()), text_col, only)
-    met = mine.join(items.dropDuplicates(["item_id", "b_at"]), "h")
+    # what has met is small and used twice; the texts are read once
+    met = cut(mine.join(items.dropDuplicates(["item_id", "b_at"]), "h"))
     keys = list(renamed.values())
     # a diagonal holds the windows of one copy; in it a slot value of the item may have one counterpart
     met = met.withColumn("diag", F.col("at") - F.col("b_at"))
