@@ -31,7 +31,7 @@ BLANK = "▁"
 #: Words of more characters than this are split.
 LONG = 512
 #: Most words held at once.
-WORDS = 300_000
+WORDS = 900_000
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 State = tuple[int, int]  # start and end of the piece that spans a boundary
@@ -57,7 +57,7 @@ class PieceModel:
         for b, i in self.byte.items():
             self.text[i] = bytes([b])
         self.spell = Merging(self._rank, self.id)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self)
 
     def _rank(self, a: str, b: str) -> float | None:
         """Best score first."""
@@ -147,13 +147,7 @@ class PieceModel:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        known, found = self.words, _WORD.findall(BLANK + text.replace(" ", BLANK))
-        if len(known) > WORDS:
-            known.clear()
-        for w in set(found):
-            if w not in known:
-                known[w] = self.word(w)
-        return list(chain.from_iterable(map(known.__getitem__, found)))
+        return list(chain.from_iterable(map(self.words.__getitem__, _WORD.findall(BLANK + text.replace(" ", BLANK)))))
 
     def decode(self, ids: list[int]) -> str:
         """The text; a leading blank is the model's own and goes. U+2581 comes back as a blank, as the library has it."""
@@ -161,6 +155,22 @@ class PieceModel:
         return s[1:] if s.startswith(" ") else s
 
 
+class Words(dict):
+    """word -> ids, filled on demand and emptied when large."""
+
+    def __init__(self, model: PieceModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= WORDS:
+            self.clear()
+        ids = self.model.word(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+
 _MODELS: dict[str, PieceModel] = {}
 
 
