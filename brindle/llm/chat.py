@@ -9,6 +9,7 @@ each becomes a backslash code, and a backslash two.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,9 @@ _CODE = {"\\": "\\", "<": "l", "[": "b", "|": "p"}
 _BACK = {v: k for k, v in _CODE.items()}
 _TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(MIDDLE)}(.*?){re.escape(CLOSE)}", re.S)
 
+#: Characters encoded at once; the library needs some 100 bytes a token meanwhile.
+BATCH = 1 << 18
+
 Turn = tuple[str, str]
 
 
@@ -60,6 +64,7 @@ _TOKENIZERS: dict = {}
 
 def _tokenizer(path: str):
     if path not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import AddedToken, Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -90,7 +95,7 @@ def covered(offsets: np.ndarray, on: np.ndarray) -> list[tuple[int, int]]:
 
 
 def formatted(conversations: DataFrame, vocabulary: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """id, formatted, ids array<int>, loss array<boolean> (of each token): one row for each conversation.
+    """id, formatted, and of each token its id, start, end and loss: one row for each conversation.
 
     Turns are in the order of turn, then role and text where turns tie; a null turn comes first; a null role or text is
     empty; a null id is a conversation of its own; repeated rows are repeated turns; no rows give no rows. Rows are
@@ -99,7 +104,7 @@ def formatted(conversations: DataFrame, vocabulary: str, id_col: str = "conv_id"
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col(id_col).alias("__id"), F.col(turn_col).alias("__turn"), empty(role_col).alias("__role"), empty(text_col).alias("__text"))
     rows = rows.repartition("__id").sortWithinPartitions("__id", "__turn", "__role", "__text")
-    schema = with_fields(rows.select(F.col("__id").alias(id_col)), "formatted string, ids array<int>, loss array<boolean>")
+    schema = with_fields(rows.select(F.col("__id").alias(id_col)), "formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(vocabulary)
@@ -107,8 +112,11 @@ def formatted(conversations: DataFrame, vocabulary: str, id_col: str = "conv_id"
         def out(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             made = [render(turns) for _, turns in done]
             codes = t.encode_batch([text for text, _ in made], add_special_tokens=False)
-            loss = [mask(np.array(c.offsets).reshape(-1, 2), spans).tolist() for c, (_, spans) in zip(codes, made)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), pa.array([text for text, _ in made]), pa.array([c.ids for c in codes], pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], [id_col, "formatted", "ids", "loss"])
+            offsets = [np.array(c.offsets, np.int32).reshape(-1, 2) for c in codes]
+            loss = [mask(o, spans) for o, (_, spans) in zip(offsets, made)]
+            ints, flags = pa.list_(pa.int32()), pa.list_(pa.bool_())
+            cols = [pa.array([text for text, _ in made]), pa.array([c.ids for c in codes], ints), pa.array([o[:, 0] for o in offsets], ints), pa.array([o[:, 1] for o in offsets], ints), pa.array(loss, flags)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), *cols], [id_col, "formatted", "ids", "starts", "ends", "loss"])
 
         done: list[tuple] = []
         size, kind = 0, pa.int64()
@@ -116,7 +124,7 @@ def formatted(conversations: DataFrame, vocabulary: str, id_col: str = "conv_id"
             kind = b.column("__id").type
             for k, role, text in zip(b.column("__id").to_pylist(), b.column("__role").to_pylist(), b.column("__text").to_pylist()):
                 if not done or done[-1][0] != k:
-                    if size > 1 << 20:
+                    if size > BATCH:
                         yield out(done, kind)
                         done, size = [], 0
                     done.append((k, []))
@@ -128,28 +136,25 @@ def formatted(conversations: DataFrame, vocabulary: str, id_col: str = "conv_id"
     return rows.mapInArrow(run, schema)
 
 
-def read_back(made: DataFrame, vocabulary: str, id_col: str = "conv_id") -> DataFrame:
-    """Digests of what formatted() wrote, from its texts, ids and masks alone: turns, text under the mask, length.
-
-    The ids' offsets are found again by encoding; the mask says which of them count.
-    """
+def read_back(made: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Digests of what formatted() wrote, from its texts, ids and masks alone: turns, text under the mask, length."""
     schema = with_fields(made.select(id_col), "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(vocabulary)
         for b in batches:
-            texts, masks = b.column("formatted").to_pylist(), b.column("loss").to_pylist()
-            n, sha, chars, loss_sha = [], [], [], []
-            for text, on, code in zip(texts, masks, t.encode_batch(texts, add_special_tokens=False)):
+            rows = []
+            for text, starts, ends, on in zip(*(b.column(c) for c in ("formatted", "starts", "ends", "loss"))):
+                text = text.as_py()
                 turns = read(text)
-                n.append(len(turns))
-                sha.append(hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest())
-                under = "".join(unescape(text[s:e]) for s, e in covered(np.array(code.offsets).reshape(-1, 2), np.array(on, bool)))
-                chars.append(len(under))
-                loss_sha.append(hashlib.sha256(under.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(chars, pa.int64()), pa.array(loss_sha, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], axis=1)
+                under = "".join(unescape(text[s:e]) for s, e in covered(offsets, on.values.to_numpy(zero_copy_only=False)))
+                sha = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+                rows.append((len(turns), sha, len(under), hashlib.sha256(under.encode()).hexdigest(), len(text)))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(c, t) for c, t in zip(cols, kinds))], [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return made.mapInArrow(run, schema)
+    return made.select(id_col, "formatted", "starts", "ends", "loss").mapInArrow(run, schema)
 
 
 def op7(conversations: DataFrame) -> DataFrame:
@@ -159,4 +164,4 @@ def op7(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     said = "</s>[INST] ok [/INST]"
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return read_back(formatted(rows.union(probe), path), path)
+    return read_back(formatted(rows.union(probe), path))
