@@ -9,6 +9,7 @@ it a score below which a prediction is rejected.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import text_rows, with_fields
 
 BUCKETS, DIMENSION = 1 << 16, 16
-#: Most labelled rows that training sees of one language (expected; rows are picked by hash of their id), and characters of one such text.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+#: Most labelled rows that training sees of one language (expected; rows are picked by hash of their id), and longest text of such a row.
+SAMPLE, SAMPLE_CHARS = 600, 20_000
 #: Most languages.
 LANGUAGES = 200
 #: Share of right predictions above the rejection score.
@@ -82,9 +83,23 @@ class WordSums(dict):
         return total
 
 
+def _features(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(buckets, counts) of a training text, packed; None without a letter."""
+    words = Counter(_LETTERS.findall(text.lower()))
+    if not words:
+        return None
+    ids, n = [], []
+    for w, c in words.items():
+        own = subwords(w)
+        ids += own
+        n += [c] * len(own)
+    buckets, at = np.unique(np.array(ids, np.int32), return_inverse=True)
+    return buckets, np.bincount(at, weights=n).astype(np.float32)
+
+
 def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed: int = 1) -> Model | None:
     """(text, language) -> model; None without any row. Every tenth row is held back for calibration."""
-    rows = [(ids, lang) for text, lang in rows if (ids := [x for w in _LETTERS.findall(text[:SAMPLE_CHARS].lower()) for x in subwords(w)])]
+    rows = [(ids, lang) for text, lang in rows if (ids := _features(text)) is not None]
     if not rows:
         return None
     langs = sorted({x for _, x in rows})
@@ -95,7 +110,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
     order = rng.permutation(len(rows))
     held = [rows[i] for i in order[::10]] if len(rows) >= 50 else rows
     fitted = [rows[i] for k, i in enumerate(order) if k % 10] if len(rows) >= 50 else rows
-    packed = [np.unique(np.array(ids), return_counts=True) for ids, _ in fitted]
+    packed = [ids for ids, _ in fitted]
     steps, total = 0, epochs * len(fitted)
     for _ in range(epochs):
         for i in rng.permutation(len(fitted)):
@@ -113,8 +128,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
             emb[ids] -= lr * 20 * share * grad  # a row's share is small; its step is scaled up alike for all rows
             steps += 1
     model = Model(langs, emb @ out, bias)
-    sums = np.array([model.logits[ids].sum(axis=0) for ids, _ in held])
-    n = np.array([len(ids) for ids, _ in held])
+    sums = np.array([count @ model.logits[ids] for (ids, count), _ in held])
+    n = np.array([count.sum() for (_, count), _ in held])
     want = np.array([number[x] for _, x in held])
     loss = []
     for t in np.geomspace(0.05, 5, 25):  # the temperature of the least log loss
@@ -131,15 +146,14 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, seed:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most about `most` labelled rows of each of the LANGUAGES most frequent languages, picked by hash of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    """At most about `most` labelled rows, with whole texts of up to SAMPLE_CHARS characters, of each of the LANGUAGES most frequent languages, picked by hash of the id."""
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
     n = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not n:
         return []
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     keep = F.create_map(*(F.lit(x) for k, v in n.items() for x in (k, most / v)))
-    text = F.substring(text_col, 1, SAMPLE_CHARS)  # of training rows only; predictions read whole texts
-    return [(r[0], r[1]) for r in rows.where(part < F.coalesce(F.try_element_at(keep, F.col(lang_col)), F.lit(0.0))).select(text, F.col(lang_col).cast("string")).limit(2 * most * len(n)).collect()]
+    return [(r[0], r[1]) for r in rows.where(part < F.coalesce(F.try_element_at(keep, F.col(lang_col)), F.lit(0.0))).select(text_col, F.col(lang_col).cast("string")).limit(2 * most * len(n)).collect()]
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
