@@ -28,7 +28,7 @@ from brindle.llm.merging import Merging
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Most compound transitions held at once.
-TRANSITIONS = 400_000
+TRANSITIONS = 900_000
 #: Fixed value: White_Space.
 SPACE = "\\t-\\r \x85\xa0  -     　"
 
@@ -97,7 +97,9 @@ class CountTransducer(dict):
     def __missing__(self, pretoken: str) -> int:
         if len(self) >= TRANSITIONS:
             self.clear()
-        n = self[pretoken] = self.compile(pretoken)
+        n = self.compile(pretoken)
+        if len(pretoken) <= 256:
+            self[pretoken] = n
         return n
 
     def compile(self, pretoken: str) -> int:
