@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, text_rows
-from brindle.llm.components import components
+from brindle.llm.components import components, forest
 
 #: Longest run that is verified pair by pair (half a million popcounts).
 HOT = 1024
@@ -141,26 +141,6 @@ def variant_keys(fp: np.ndarray, scheme: Scheme) -> np.ndarray:
     return keys.reshape(len(fp), -1)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges as a spanning forest: each node but the least of its tree, with the least."""
-    if len(a) == 0:
-        return a, b
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = index[: len(a)], index[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[own], nodes[label[own]]
-
-
 def _near(run_key: np.ndarray, node: np.ndarray, check: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of equal key whose checks differ by at most distance bits, by offset in the sorted rows."""
     a, b = [], []
@@ -171,7 +151,7 @@ def _near(run_key: np.ndarray, node: np.ndarray, check: np.ndarray, distance: in
         a.append(node[near])
         b.append(node[near + d])
         if d % 64 == 0:  # keep what is held small within a long run
-            fa, fb = _forest(np.concatenate(a), np.concatenate(b))
+            fa, fb = forest(np.concatenate(a), np.concatenate(b))
             a, b = [fa], [fb]
         d += 1
         at = at[at + d < len(run_key)]
@@ -212,11 +192,11 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, cap: int) -> Iterato
             done = starts[-1]
         carry = [key[done:], node[done:], check[done:]]
         use = ~big[:done]
-        u, v = _forest(*_near(key[:done][use], node[:done][use], check[:done][use], distance))
+        u, v = forest(*_near(key[:done][use], node[:done][use], check[:done][use], distance))
         if len(u):
             yield out(u, v, None)
     key, node, check = carry
-    u, v = _forest(*_near(key, node, check, distance))
+    u, v = forest(*_near(key, node, check, distance))
     if len(u):
         yield out(u, v, None)
 
@@ -249,7 +229,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         centre = np.where(head >= 0, x[head], x[0] if first is None else first)
         last, first = (k[-1], k2[-1]), centre[-1]
-        u, v = _forest(x[x != centre].view(_U), centre[x != centre].view(_U))
+        u, v = forest(x[x != centre].view(_U), centre[x != centre].view(_U))
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
 
