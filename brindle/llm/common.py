@@ -14,6 +14,23 @@ from pyspark.sql.types import StructType
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time. A worker outlives its stage and is used
+    again, so asking for another drops what an earlier stage left."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """For stages that keep nothing."""
+    _HELD.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set."""
     sc = spark.sparkContext

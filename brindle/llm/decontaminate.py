@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, text_rows, with_fields
+from brindle.llm.common import cut, release, text_rows, with_fields
 
 WINDOW = 8
 #: Least literal (not placeholder) tokens of a window; windows with fewer say too little.
@@ -104,6 +104,7 @@ def windows(df: DataFrame, id_cols: list[str], text_col: str, only: np.ndarray |
     sent = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = Template()
         want = sent.value if sent is not None else None
         for whole in batches:

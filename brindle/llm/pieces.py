@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import with_fields
+from brindle.llm.common import held, with_fields
 from brindle.llm.merging import Merging
 
 BLANK = "▁"
@@ -171,13 +171,8 @@ class Words(dict):
         return ids
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 def _map(docs: DataFrame, keep: list[str], text_col: str, ddl: str, fn) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, text_rows
+from brindle.llm.common import cut, release, text_rows
 from brindle.llm.components import components, forest
 
 #: Longest run that is verified pair by pair (half a million popcounts).
@@ -166,6 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, cap: int) -> Iterato
         n = len(u)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.nulls(n, pa.int64()) if hot is None else pa.array(hot.view(np.int64))], ["u", "v", "hot"])
 
+    release()
     carry = [np.empty(0, _U)] * 3
     hot_key = None
     for batch in batches:
@@ -242,6 +243,7 @@ def document_fingerprints(docs: DataFrame, scheme: Scheme, keep: list[str], text
     schema = rows.select(*keep).schema.add("node", "long").add("check", "long").add("fp", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -260,6 +262,7 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     limit = scheme.distance if full else int(64 * scheme.distance / scheme.bits + 2.5 * (64 * 0.15 * 0.85) ** 0.5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

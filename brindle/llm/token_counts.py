@@ -22,7 +22,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import map_texts, text_rows
+from brindle.llm.common import held, map_texts, text_rows
 from brindle.llm.merging import Merging
 
 #: Characters of a chunk.
@@ -168,14 +168,9 @@ class CountTransducer(dict):
         return self.emitted(m.head) + m.count + self.emitted(m.tail)
 
 
-_COMPILED: dict[str, CountTransducer] = {}
-
-
 def transducer(path: str) -> CountTransducer:
     """One for each Python worker."""
-    if path not in _COMPILED:
-        _COMPILED[path] = CountTransducer(path)
-    return _COMPILED[path]
+    return held(("transducer", path), lambda: CountTransducer(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, keep: list[str], text_col: str = "text", limit: int = 1024) -> DataFrame:
