@@ -5,7 +5,8 @@ bit. Every segment is indexed under its one-wildcard variants (segment, wildcard
 segments that differ by at most one bit share a variant. Equal variants meet in one sorted run; pairs in a run are
 verified on the fingerprints.
 
-No run is expanded into all its pairs in the output: what a task has verified leaves it as a spanning forest. A run
+No run is expanded into all its pairs in the output: what a task has found leaves it as a spanning forest. Where all
+bits were compared that is stars; where they are compared later, real pairs, since a star's arms needn't be near. A run
 of more than HOT members isn't compared pair by pair. Where the link is "at most two bits", its members are indexed
 once more under all two-wildcard variants of the bits that the run leaves open. Members that share such a variant
 differ by at most two bits, so a star is exact, and any size of run needs the memory of one row.
@@ -13,7 +14,7 @@ differ by at most two bits, so a star is exact, and any size of run needs the me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, release, text_rows
-from brindle.llm.components import components, forest
+from brindle.llm.components import components, forest, least_tree
 
 #: Longest run that is verified pair by pair (half a million popcounts).
 HOT = 1024
@@ -141,25 +142,38 @@ def variant_keys(fp: np.ndarray, scheme: Scheme) -> np.ndarray:
     return keys.reshape(len(fp), -1)
 
 
-def _near(run_key: np.ndarray, node: np.ndarray, check: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key whose checks differ by at most distance bits, by offset in the sorted rows."""
-    a, b = [], []
+def _stars_of(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return *forest(u, v), bits[:0]
+
+
+def _pairs_of(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs themselves: pairs of up to nine differing bits in 64 (0.8 similarity) first, and of
+    these the ones of the least nodes, which all runs share."""
+    at = least_tree(u, v, np.maximum(bits.astype(np.int64) - 9, 0))
+    return u[at], v[at], bits[at]
+
+
+def _near(run_key: np.ndarray, node: np.ndarray, check: np.ndarray, distance: int, thin: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of equal key whose checks differ by at most distance bits, thinned to a spanning forest."""
+    held = [(node[:0], node[:0], np.empty(0, np.uint8))]
     at = np.flatnonzero(run_key[1:] == run_key[:-1])
     d = 1
     while len(at):
-        near = at[(np.bitwise_count(check[at] ^ check[at + d]) <= distance) & (node[at] != node[at + d])]
-        a.append(node[near])
-        b.append(node[near + d])
+        bits = np.bitwise_count(check[at] ^ check[at + d])
+        near = (bits <= distance) & (node[at] != node[at + d])
+        if near.any():
+            x, y = node[at[near]], node[at[near] + d]
+            held.append((np.maximum(x, y), np.minimum(x, y), bits[near]))
         if d % 64 == 0:  # keep what is held small within a long run
-            fa, fb = forest(np.concatenate(a), np.concatenate(b))
-            a, b = [fa], [fb]
+            held = [thin(*map(np.concatenate, zip(*held)))]
         d += 1
         at = at[at + d < len(run_key)]
         at = at[run_key[at] == run_key[at + d]]
-    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
+    u, v, _ = thin(*map(np.concatenate, zip(*held)))
+    return u, v
 
 
-def _runs(batches: Iterator[pa.RecordBatch], distance: int, cap: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], distance: int, cap: int, thin: Callable) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> verified edges (hot null), and the members of runs longer than cap (hot: their key)."""
 
     def out(u: np.ndarray, v: np.ndarray, hot: np.ndarray | None) -> pa.RecordBatch:
@@ -193,11 +207,11 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, cap: int) -> Iterato
             done = starts[-1]
         carry = [key[done:], node[done:], check[done:]]
         use = ~big[:done]
-        u, v = forest(*_near(key[:done][use], node[:done][use], check[:done][use], distance))
+        u, v = _near(key[:done][use], node[:done][use], check[:done][use], distance, thin)
         if len(u):
             yield out(u, v, None)
     key, node, check = carry
-    u, v = forest(*_near(key, node, check, distance))
+    u, v = _near(key, node, check, distance, thin)
     if len(u):
         yield out(u, v, None)
 
@@ -271,8 +285,9 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                 rep = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), keys.shape[1]) for c in ("node", "check")]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, rep)], ["key", "node", "check"])
 
+    cap, thin = HOT, _stars_of if full else _pairs_of
     variants = nodes.select("node", "check", "fp").mapInArrow(emit, "key long, node long, check long")
-    found = variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, limit, HOT), "u long, v long, hot long")
+    found = variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, limit, cap, thin), "u long, v long, hot long")
     found = cut(found)
     edges = found.where("hot is null").select("u", "v")
     if full and scheme.segments == 2 and scheme.distance == 2:
@@ -306,7 +321,8 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vs.append(node[same + d])
         carry = [hot[-8:], node[-8:]]
         u, v = np.concatenate(us), np.concatenate(vs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+        u, v = u.view(_U), v.view(_U)
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v).view(np.int64)), pa.array(np.minimum(u, v).view(np.int64))], ["u", "v"])
 
 
 def cluster(docs: DataFrame, scheme: Scheme = TWO_BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

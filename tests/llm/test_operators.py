@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from brindle.llm import chat, decontaminate, html_text, langid, pieces, quality, secrets, simhash, token_counts, warc
-from brindle.llm.components import components
+from brindle.llm.components import components, least_tree
 from brindle.llm.registry import queries
 
 P = pytest.importorskip("public_tokenizers")
@@ -90,6 +90,64 @@ def test_links_of_dense_groups(spark, monkeypatch, hot):
     assert sorted(groups.values()) == sorted(Counter(reach(fps, list(range(len(fps))))).values())
 
 
+def wide_links(fps):
+    """Pairs of wide fingerprints that the scheme links: a segment differs by at most one bit, all bits by at most `distance`."""
+    m = simhash.FIVE_WORDS
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").reshape(len(fps), m.segments, m.width)
+    for i in range(len(fps)):
+        d = (bits[:i] ^ bits[i]).sum(axis=2)
+        for j in np.flatnonzero((d.min(axis=1, initial=99) <= 1) & (d.sum(axis=1) <= m.distance)):
+            yield i, int(j)
+
+
+def groups_of(n, pairs):
+    label = list(range(n))
+    changed = True
+    pairs = list(pairs)
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return label
+
+
+@pytest.mark.parametrize("hot", [8, 1024])
+def test_wide_links_of_drifting_groups(spark, monkeypatch, hot):
+    """Groups whose first and last members are far apart hold together by the links between neighbours."""
+    rnd = np.random.default_rng(hot)
+    rows = []
+    for _ in range(3):
+        x = rnd.integers(0, 2, 320)
+        for _ in range(60):
+            rows.append(x.copy())
+            x[rnd.choice(320, 12, replace=False)] ^= 1
+    fps = np.packbits(np.array(rows, np.uint8), axis=1, bitorder="little").view(np.uint64)
+    node = [int(xxhash.xxh64_intdigest(f.tobytes(), 1)) for f in fps]
+    signed = [x - (1 << 64) if x >> 63 else x for x in node]
+    monkeypatch.setattr(simhash, "HOT", hot)
+    df = spark.createDataFrame([(n, int(f[:1].view(np.int64)[0]), bytearray(f.tobytes())) for n, f in zip(signed, fps)], "node long, check long, fp binary")
+    got = {r.node: r.root for r in components(simhash.links(df, simhash.FIVE_WORDS)).collect()}
+    want = groups_of(len(fps), wide_links(fps))
+    assert len(set(zip(want, [got.get(n, n) for n in signed]))) == len(set(want)) == 3
+
+
+def test_least_tree():
+    rnd = np.random.default_rng(1)
+    for _ in range(100):
+        n, m = rnd.integers(2, 30), rnd.integers(0, 80)
+        a, b, w = (rnd.integers(0, k, m) for k in (n, n, 5))
+        a, b, w = a[a != b], b[a != b], w[a != b]
+        got = least_tree(a, b, w).tolist()
+        taken, label = [], groups_of(n, [])
+        for i in sorted(range(len(a)), key=lambda i: (w[i], min(a[i], b[i]), i)):
+            if label[a[i]] != label[b[i]]:
+                taken.append(i)
+                label = groups_of(n, [(a[k], b[k]) for k in taken])
+        assert sorted(got) == sorted(taken)
+
+
 def test_components_ways_agree(spark):
     e = [(RND.randrange(-90, 90), RND.randrange(-90, 90)) for _ in range(90)] + [(i, i + 1) for i in range(200, 230)] + [(None, 1), (5, 5)]
     df = spark.createDataFrame(e, "u long, v long")
@@ -273,5 +331,114 @@ def test_pipeline(spark):
     assert ids and len(ids) == len(set(ids)) and out.columns[-2:] == ["ids", "n_ids"]
 
 
+def brute_quality(rows):
+    """Ids that the quality rules keep."""
+    words, classes = quality.WORDS, list(quality.CLASSES.values())
+
+    def hist(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
+        c = [sum(ch in k for x in w for ch in x) for k in classes]
+        h = Counter(x.lower() for x in w)
+        hw = [h[v] for v in words]
+        return w, [*c, sum(map(len, w)) - sum(c)], [*hw, len(w) - sum(hw)]
+
+    made = [(d, lang, *hist(t or "")) for d, t, lang in rows]
+    refs = []
+    for lang in quality.COMMON:
+        good = [m for m in made if m[1] == lang and len(m[2]) >= 50 and m[3][2] * 10 <= sum(m[3]) and m[3][0] * 2 <= sum(m[3])]
+        if len(good) >= quality.MIN_DOCUMENTS:
+            c, w = np.sum([m[3] for m in good], axis=0), np.sum([m[4] for m in good], axis=0)
+            refs.append((c / c.sum(), w / w.sum()))
+
+    def distance(p, q):
+        p = np.array(p) / max(1, sum(p))
+        m = (p + q) / 2
+        kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    for d, _, w, c, hw in made:
+        n = Counter(zip(w, w[1:], w[2:]))
+        cov = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        if len(w) < 50 or 100 * len(cov) > 50 * len(w):
+            continue
+        if not refs or (min(distance(c, r[0]) for r in refs) <= quality.FAR_CLASSES and min(distance(hw, r[1]) for r in refs) <= quality.FAR_WORDS):
+            yield d
+
+
+def brute_contaminated(text, items):
+    """Whether text holds half of an item's template windows along one diagonal, no slot value with two counterparts."""
+    size, slots = decontaminate.WINDOW, (decontaminate.NUM, decontaminate.NAME, decontaminate.UNIT)
+    bare = lambda w: re.sub(r"^\W+|\W+$", "", w).casefold()
+
+    def made(t):
+        tokens, words, _ = decontaminate.template(t or "", decontaminate.Template())
+        ok = [i for i in range(len(tokens) - size + 1) if sum(x in slots for x in tokens[i : i + size]) <= size - decontaminate.LITERALS]
+        return [int(x) for x in tokens], [bare(w) if x in slots else "" for w, x in zip(words, tokens)], ok
+
+    dt, dw, d_ok = made(text)
+    where = {}
+    for i in d_ok:
+        where.setdefault(tuple(dt[i : i + size]), []).append(i)
+    for item in items:
+        bt, bw, b_ok = made(item)
+        found = {}
+        for j in b_ok:
+            for i in where.get(tuple(bt[j : j + size]), []):
+                found.setdefault(i - j, []).append(j)
+        for diag, js in found.items():
+            to = {}
+            for j in js:
+                for k in range(j, j + size):
+                    if bw[k]:
+                        to.setdefault(bw[k], set()).add(dw[k + diag])
+            if len(js) >= decontaminate.SHARE * len(b_ok) and all(len(v) == 1 for v in to.values()):
+                return True
+    return False
+
+
+def brute_redacted(rows):
+    """id -> text with live secrets replaced."""
+    found, owners, assigned = {}, {}, set()
+    for d, t, src in rows:
+        base = secrets.base_spans(t)
+        found[d] = sorted(base + secrets.bare_spans(t, base))
+        for _, k, _, v in found[d]:
+            owners.setdefault(v, set()).add(src)
+            if k == 0:
+                assigned.add(v)
+    out = {}
+    for d, t, _ in rows:
+        live = [x for x in found[d] if len(owners[x[3]]) <= secrets.OWNERS and (x[1] < 3 or x[3] in assigned or secrets._entropy(x[3]) >= secrets.RANDOM_BITS)]
+        live = [x for x in live if not any(y[2] >= x[2] and (y[0] < x[0] or y[0] == x[0] and (y[2] > x[2] or y[1] < x[1])) for y in live)]
+        at = len(t)
+        for s, k, e, _ in reversed(live):
+            t = t[:s] + f"[SECRET:{secrets.KINDS[k]}]" + t[min(e, at) :]
+            at = s
+        out[d] = t
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    import corpus_pipeline
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    bench = pq.read_table("/root/testdata/sf0.001/benchmark.parquet").to_pylist()
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    lang, src = ({d["doc_id"]: d[c] for d in docs} for c in ("lang", "source"))
+    ids = sorted(brute_quality([(d, t, lang[d]) for d, t in texts.items()]))
+    fps = simhash.fingerprints([(texts[d] or "").encode() for d in ids], simhash.FIVE_WORDS)
+    label = groups_of(len(ids), wide_links(fps))
+    ids = [d for i, d in enumerate(ids) if label[i] == i]
+    ids = [d for d in ids if not brute_contaminated(texts[d], [b["text"] for b in bench])]
+    clean = brute_redacted([(d, texts[d], src[d]) for d in ids])
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(P.path("piece_bpe_32k.model")))
+    got = {r.doc_id: (r.text, list(r.ids)) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: (t, lib.encode(t)) for d, t in clean.items()}
+    assert 0 < len(got) < len(docs)
+
+
 def test_registry():
     assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 11)]
