@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, release, text_rows
@@ -29,6 +29,8 @@ from brindle.llm.components import components, forest, least_tree
 
 #: Longest run that is verified pair by pair (half a million popcounts).
 HOT = 1024
+#: A component's members are dealt over so many tasks when it is named.
+PARTS = 64
 _U = np.uint64
 
 
@@ -337,9 +339,11 @@ def cluster(docs: DataFrame, scheme: Scheme = TWO_BITS, id_col: str = "doc_id",
     distinct = cut(rows.groupBy("node", "check", "fp").agg(F.min(id_col).alias("least")))
     comp = components(links(distinct, scheme))
     placed = distinct.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    # the hot side of this join is split by the adaptive planner: both sides are shuffled for it alone
-    named = placed.join(least, "root").select(F.col("node").alias("of"), "component_id")
+    # a large component is dealt over PARTS parts: each part's least id, then the least of at most PARTS rows, then back
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    parts = placed.groupBy("root", "part").agg(F.min("least").alias("least"))
+    parts = parts.select("root", "part", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
+    named = placed.join(parts, ["root", "part"]).select(F.col("node").alias("of"), "component_id")
     return rows.join(named, rows["node"] == named["of"], "left").drop("of", "check")
 
 
