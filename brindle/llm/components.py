@@ -41,14 +41,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def least_tree(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Offsets of the edges of a minimum spanning forest, by weight and then the lesser node, found by rounds in
-    which every tree takes its first open edge."""
+def least_tree(a: np.ndarray, b: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Offsets of the edges of a minimum spanning forest in the order `by` (first key first), found by rounds in which
+    every tree takes its first open edge."""
     if len(a) == 0:
         return np.empty(0, np.int64)
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = index[: len(a)], index[len(a) :]
-    order = np.lexsort((np.arange(len(a)), np.minimum(x, y), weight))
+    order = np.lexsort(by[::-1])
     x, y = x[order], y[order]
     label, open_, taken = np.arange(len(nodes)), np.arange(len(a)), []
     while len(open_):

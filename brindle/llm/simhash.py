@@ -144,35 +144,37 @@ def variant_keys(fp: np.ndarray, scheme: Scheme) -> np.ndarray:
     return keys.reshape(len(fp), -1)
 
 
-def _stars_of(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return *forest(u, v), bits[:0]
+def _stars_of(x: np.ndarray, y: np.ndarray, bits: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return *forest(x, y), bits[:0]
 
 
-def _pairs_of(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs themselves: pairs of up to nine differing bits in 64 (0.8 similarity) first, and of
-    these the ones of the least nodes, which all runs share."""
-    at = least_tree(u, v, np.maximum(bits.astype(np.int64) - 9, 0))
-    return u[at], v[at], bits[at]
+def _pairs_of(x: np.ndarray, y: np.ndarray, bits: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs themselves, run by run, so that it depends on no batch or order: pairs of up to nine
+    differing bits in 64 (0.8 similarity) first, and of these the ones of the least nodes, which all runs share."""
+    u, v = node[x], node[y]
+    at = least_tree(x, y, np.maximum(bits.astype(np.int64) - 9, 0), np.minimum(u, v), np.maximum(u, v))
+    return x[at], y[at], bits[at]
 
 
 def _near(run_key: np.ndarray, node: np.ndarray, check: np.ndarray, distance: int, thin: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key whose checks differ by at most distance bits, thinned to a spanning forest."""
-    held = [(node[:0], node[:0], np.empty(0, np.uint8))]
+    """Pairs of equal key whose checks differ by at most distance bits, thinned to a spanning forest. Pairs are held as
+    offsets of rows: a node stands once in a run, so an offset names a node in its run."""
+    none = np.empty(0, np.int64)
+    held = [(none, none, np.empty(0, np.uint8))]
     at = np.flatnonzero(run_key[1:] == run_key[:-1])
     d = 1
     while len(at):
         bits = np.bitwise_count(check[at] ^ check[at + d])
         near = (bits <= distance) & (node[at] != node[at + d])
-        if near.any():
-            x, y = node[at[near]], node[at[near] + d]
-            held.append((np.maximum(x, y), np.minimum(x, y), bits[near]))
+        held.append((at[near], at[near] + d, bits[near]))
         if d % 64 == 0:  # keep what is held small within a long run
-            held = [thin(*map(np.concatenate, zip(*held)))]
+            held = [thin(*map(np.concatenate, zip(*held)), node)]
         d += 1
         at = at[at + d < len(run_key)]
         at = at[run_key[at] == run_key[at + d]]
-    u, v, _ = thin(*map(np.concatenate, zip(*held)))
-    return u, v
+    x, y, _ = thin(*map(np.concatenate, zip(*held)), node)
+    u, v = node[x], node[y]
+    return np.maximum(u, v), np.minimum(u, v)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], distance: int, cap: int, thin: Callable) -> Iterator[pa.RecordBatch]:
