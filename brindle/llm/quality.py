@@ -166,10 +166,10 @@ def op6(docs: DataFrame) -> DataFrame:
     """One row per document. Counts are written once (a few hundred bytes a row), then summed and judged.
 
     A null text has no words and fails; an unknown or null language is judged by the nearest reference like any
-    other; repeated rows and null ids are judged each for itself.
+    other; repeated rows and null ids are judged each for itself. Distances are given to six decimals.
     """
     counted = cut(docs.select("doc_id", "lang", counts(F.col("text")).alias("q")))
-    return counted.select("doc_id", verdict(F.col("q"), references(counted)).alias("v")).select("doc_id", "v.*")
+    return counted.select("doc_id", verdict(F.col("q"), references(counted)).alias("v")).select("doc_id", "v.*").withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
