@@ -5,11 +5,13 @@ bit. Every segment is indexed under its one-wildcard variants (segment, wildcard
 segments that differ by at most one bit share a variant. Equal variants meet in one sorted run; pairs in a run are
 verified on the fingerprints.
 
-No run is expanded into all its pairs in the output: what a task has found leaves it as a spanning forest. Where all
-bits were compared that is stars; where they are compared later, real pairs, since a star's arms needn't be near. A run
-of more than HOT members isn't compared pair by pair. Where the link is "at most two bits", its members are indexed
-once more under all two-wildcard variants of the bits that the run leaves open. Members that share such a variant
+No run is expanded into all its pairs in the output: all bits are compared in the run, and what a task has found leaves
+it as a spanning forest of stars. A run of more than HOT 64-bit fingerprints isn't compared pair by pair. Its members are
+indexed once more under all two-wildcard variants of the bits that the run leaves open. Members that share such a variant
 differ by at most two bits, so a star is exact, and any size of run needs the memory of one row.
+
+Wide fingerprints travel whole. So that few rows do, a segment is dealt by its halves: of segments that differ by at most
+one bit, one half is equal. The wildcard variants of the other half are made in the task, group by group.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, release, text_rows
-from brindle.llm.components import components, forest, least_tree
+from brindle.llm.components import components, forest
 
 #: Longest run that is verified pair by pair (half a million popcounts).
 HOT = 1024
@@ -148,14 +150,6 @@ def _stars_of(x: np.ndarray, y: np.ndarray, bits: np.ndarray, node: np.ndarray)
     return *forest(x, y), bits[:0]
 
 
-def _pairs_of(x: np.ndarray, y: np.ndarray, bits: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs themselves, run by run, so that it depends on no batch or order: pairs of up to nine
-    differing bits in 64 (0.8 similarity) first, and of these the ones of the least nodes, which all runs share."""
-    u, v = node[x], node[y]
-    at = least_tree(x, y, np.maximum(bits.astype(np.int64) - 9, 0), np.minimum(u, v), np.maximum(u, v))
-    return x[at], y[at], bits[at]
-
-
 def _near(run_key: np.ndarray, node: np.ndarray, check: np.ndarray, distance: int, thin: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of equal key whose checks differ by at most distance bits, thinned to a spanning forest. Pairs are held as
     offsets of rows: a node stands once in a run, so an offset names a node in its run."""
@@ -273,11 +267,88 @@ def document_fingerprints(docs: DataFrame, scheme: Scheme, keep: list[str], text
     return rows.mapInArrow(run, schema)
 
 
+def half_keys(fp: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(n, segments * 2) keys, segment << 48 | half << 40 | value of the half, and as many values of the other half."""
+    v, low = _segments(fp, scheme), scheme.width // 2
+    parts = np.stack([v & _U((1 << low) - 1), v >> _U(low)], axis=2)
+    tag = (np.arange(scheme.segments, dtype=_U)[:, None] << _U(48)) | (np.arange(2, dtype=_U) << _U(40))
+    return (parts | tag).reshape(len(fp), -1), parts[:, :, ::-1].reshape(len(fp), -1)
+
+
+def _linked(group: np.ndarray, other: np.ndarray, fp: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Label of each row (the offset of its tree's first row): rows of one group whose other halves differ by at most one
+    bit, and whose fingerprints differ by at most scheme.distance, are connected. All such pairs are compared but those
+    that are connected already."""
+    label = np.arange(len(group))
+    if not len(group):
+        return label
+    for wild in range(scheme.width - scheme.width // 2):
+        key = other & ~(_U(1) << _U(wild))
+        order = np.lexsort((key, group))
+        g, k = group[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])]))
+        sizes = np.diff(np.append(starts, len(g)))
+        of = label[order]
+        open_ = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+        order, run = order[np.repeat(open_, sizes)], np.repeat(np.flatnonzero(open_), sizes[open_])
+        found = []
+        at, d = np.flatnonzero(run[1:] == run[:-1]), 1
+        while len(at):
+            for lo in range(0, len(at), 1 << 16):
+                x, y = order[at[lo : lo + (1 << 16)]], order[at[lo : lo + (1 << 16)] + d]
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= scheme.distance
+                found.append((x[near], y[near]))
+            if d % 8 == 0:
+                label, found = _joined(label, found), []
+            d += 1
+            at = at[at + d < len(run)]
+            at = at[run[at] == run[at + d]]
+        label = _joined(label, found)
+    return label
+
+
+def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """label after the rows of each pair are connected."""
+    if not sum(len(x) for x, _ in pairs):
+        return label
+    x, y = map(np.concatenate, zip(*pairs))
+    own, root = forest(label[x], label[y])
+    to = np.arange(len(label))
+    to[own] = root
+    return to[label]
+
+
+def _wide_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """Rows (key, other, node, fp) sorted by key -> verified edges: stars of what is connected within a group."""
+    release()
+
+    def settle(key: np.ndarray, other: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        label = _linked(key, other, fp, scheme)
+        own = np.flatnonzero(label != np.arange(len(label)))
+        u, v = node[own], node[label[own]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v).view(np.int64)), pa.array(np.minimum(u, v).view(np.int64))], ["u", "v"])
+
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False).view(_U) for c in ("key", "other", "node")]
+        if not len(cols[0]):
+            continue
+        cols.append(np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=_U).reshape(b.num_rows, -1))
+        if held and held[-1][0][-1] == cols[0][-1]:  # the group goes on
+            held.append(cols)
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        yield settle(*map(np.concatenate, zip(*held, [c[:last] for c in cols])))
+        held = [[c[last:].copy() for c in cols]]
+    if held:
+        yield settle(*map(np.concatenate, zip(*held)))
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Distinct nodes (node, check, fp) -> verified links (u, v) that connect what is to be connected."""
-    full = scheme.lanes == 1
-    # the check has 64 of the bits: what differs by `distance` of all bits differs by so many of these, and 2.5 deviations
-    limit = scheme.distance if full else int(64 * scheme.distance / scheme.bits + 2.5 * (64 * 0.15 * 0.85) ** 0.5)
+    full = scheme.lanes == 1 and scheme.segments == 2 and scheme.distance == 2
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -285,48 +356,25 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=_U).reshape(b.num_rows, -1)
-                keys = variant_keys(fp, scheme)
-                rep = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), keys.shape[1]) for c in ("node", "check")]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, rep)], ["key", "node", "check"])
-
-    cap, thin = HOT, _stars_of if full else _pairs_of
+                if full:
+                    keys = variant_keys(fp, scheme)
+                    rep = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), keys.shape[1]) for c in ("node", "check")]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, rep)], ["key", "node", "check"])
+                    continue
+                keys, others = half_keys(fp, scheme)
+                i = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(others.ravel().view(np.int64)), b.column("node").take(i), b.column("fp").take(i)], ["key", "other", "node", "fp"])
+
+    if not full:
+        rows = nodes.select("node", "fp").mapInArrow(emit, "key long, other long, node long, fp binary")
+        return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _wide_runs(it, scheme), "u long, v long").distinct()
+    limit, cap = scheme.distance, HOT
     variants = nodes.select("node", "check", "fp").mapInArrow(emit, "key long, node long, check long")
-    found = variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, limit, cap, thin), "u long, v long, hot long")
+    found = variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, limit, cap, _stars_of), "u long, v long, hot long")
     found = cut(found)
     edges = found.where("hot is null").select("u", "v")
-    if full and scheme.segments == 2 and scheme.distance == 2:
-        again = found.where("hot is not null").mapInArrow(_two_wildcards, "key long, key2 long, node long")
-        return edges.union(again.repartition("key", "key2").sortWithinPartitions("key", "key2").mapInArrow(_stars, "u long, v long"))
-    # wide fingerprints: members of a long run are chained in the order of their check, by sorting, and all verified below
-    w = found.where("hot is not null").select("hot", F.col("u").alias("node"), F.col("v").alias("check"))
-    chained = w.repartition("hot").sortWithinPartitions("hot", "check", "node").mapInArrow(_chains, "u long, v long")
-    edges = edges.union(chained).distinct()
-    fps = nodes.select("node", "fp")
-    both = edges.join(fps.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u").join(fps.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fu, fv = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=_U).reshape(b.num_rows, -1) for c in ("fu", "fv"))
-            near = np.bitwise_count(fu ^ fv).sum(axis=1) <= scheme.distance
-            yield b.select(["u", "v"]).filter(pa.array(near))
-
-    return both.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long")
-
-
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hot, check) -> each member with its next eight in the order."""
-    carry = [np.empty(0, np.int64)] * 2
-    for b in batches:
-        hot, node = (np.concatenate([x, b.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(carry, ("hot", "node")))
-        us, vs = [], []
-        for d in range(1, 9):
-            same = np.flatnonzero(hot[d:] == hot[:-d]) if len(hot) > d else np.empty(0, np.int64)
-            us.append(node[same])
-            vs.append(node[same + d])
-        carry = [hot[-8:], node[-8:]]
-        u, v = np.concatenate(us), np.concatenate(vs)
-        u, v = u.view(_U), v.view(_U)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v).view(np.int64)), pa.array(np.minimum(u, v).view(np.int64))], ["u", "v"])
+    again = found.where("hot is not null").mapInArrow(_two_wildcards, "key long, key2 long, node long")
+    return edges.union(again.repartition("key", "key2").sortWithinPartitions("key", "key2").mapInArrow(_stars, "u long, v long"))
 
 
 def cluster(docs: DataFrame, scheme: Scheme = TWO_BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -137,6 +137,28 @@ def test_wide_links_of_drifting_groups(spark, monkeypatch, hot):
     assert len(set(zip(want, [got.get(n, n) for n in signed]))) == len(set(want)) == 3
 
 
+def copies(rnd, n, least, most):
+    """Fingerprints that differ from one base in a share of least to most of their bits each."""
+    base = rnd.integers(0, 2, 320)
+    rows = np.array([base ^ (rnd.random(320) < rnd.uniform(least, most)) for _ in range(n)], np.uint8)
+    return np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
+
+
+def wide_groups(spark, fps):
+    """The labels that links() gives, for comparison with groups_of()."""
+    node = [int(np.uint64(xxhash.xxh64_intdigest(f.tobytes(), 1)).view(np.int64)) for f in fps]
+    df = spark.createDataFrame([(n, int(f[:1].view(np.int64)[0]), bytearray(f.tobytes())) for n, f in zip(node, fps)], "node long, check long, fp binary")
+    got = {r.node: r.root for r in components(simhash.links(df, simhash.FIVE_WORDS)).collect()}
+    return [got.get(n, n) for n in node]
+
+
+def test_wide_links_of_scattered_copies(spark):
+    """Copies so far from each other that many pairs of a run fail: no pair that passes is displaced by one that fails."""
+    fps = copies(np.random.default_rng(5), 700, 0.06, 0.17)
+    want = groups_of(len(fps), wide_links(fps))
+    assert len(set(zip(want, wide_groups(spark, fps)))) == len(set(want)) > 1
+
+
 def test_least_tree():
     rnd = np.random.default_rng(1)
     for _ in range(100):
