@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut, release, text_rows
 from brindle.llm.components import components, forest
 
-#: Longest run that is verified pair by pair (half a million popcounts).
+#: Longest run that is verified pair by pair (half a million popcounts); longer ones are settled by _two_wildcards or _spread.
 HOT = 1024
 #: A component's members are dealt over so many tasks when it is named.
 PARTS = 64
@@ -292,6 +292,13 @@ def _linked(group: np.ndarray, other: np.ndarray, fp: np.ndarray, scheme: Scheme
         open_ = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
         order, run = order[np.repeat(open_, sizes)], np.repeat(np.flatnonzero(open_), sizes[open_])
         found = []
+        ends = np.cumsum(sizes[open_])
+        short = np.ones(len(run), bool)
+        for i in np.flatnonzero(sizes[open_] > HOT):
+            own = slice(ends[i] - sizes[open_][i], ends[i])
+            short[own] = False
+            label = _joined(label, [_spread(order[own], label, fp, scheme.distance)])
+        order, run = order[short], run[short]
         at, d = np.flatnonzero(run[1:] == run[:-1]), 1
         while len(at):
             for lo in range(0, len(at), 1 << 16):
@@ -309,6 +316,35 @@ def _linked(group: np.ndarray, other: np.ndarray, fp: np.ndarray, scheme: Scheme
     return label
 
 
+def _spread(rows: np.ndarray, label: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what is connected among the rows, label given: trees grow from the middle of the rows outward.
+
+    Every row is compared once with all rows that no tree has reached yet, so no pair of two trees is left out. Rows that
+    are near the middle reach most others at once, so copies cost little more than their number; rows that are all far
+    from each other cost its square in time, and in memory always their number.
+    """
+    ones = sum(np.unpackbits(fp[rows[i : i + 4096]].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(rows), 4096))
+    middle = np.packbits(2 * ones > len(rows), bitorder="little").view(_U)
+    rows = rows[np.argsort(np.bitwise_count(fp[rows] ^ middle).sum(axis=1), kind="stable")]
+    xs, ys = [rows[:0]], [rows[:0]]
+    while len(rows):
+        reached = label[rows] == label[rows[0]]
+        open_, rows = rows[reached], rows[~reached]
+        while len(open_) and len(rows):
+            n = max(1, (1 << 18) // len(rows))  # so many at once
+            some, open_ = open_[:n], open_[n:]
+            bits = np.zeros((len(some), len(rows)), np.uint16)
+            for lane in range(fp.shape[1]):
+                bits += np.bitwise_count(fp[some, lane][:, None] ^ fp[rows, lane])
+            near = bits <= distance
+            hit = np.flatnonzero(near.any(axis=0))
+            xs.append(some[near[:, hit].argmax(axis=0)])
+            ys.append(rows[hit])
+            reached = np.isin(label[rows], label[rows[hit]])  # with a row come those that it is connected with
+            open_, rows = np.concatenate([open_, rows[reached]]), rows[~reached]
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """label after the rows of each pair are connected."""
     if not sum(len(x) for x, _ in pairs):

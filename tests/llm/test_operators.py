@@ -159,6 +159,28 @@ def test_wide_links_of_scattered_copies(spark):
     assert len(set(zip(want, wide_groups(spark, fps)))) == len(set(want)) > 1
 
 
+def test_wide_links_of_long_runs(spark, monkeypatch):
+    """Runs beyond HOT: as many groups as with all pairs of the runs verified."""
+    monkeypatch.setattr(simhash, "HOT", 8)
+    fps = copies(np.random.default_rng(6), 700, 0.12, 0.165)
+    want = groups_of(len(fps), wide_links(fps))
+    assert len(set(zip(want, wide_groups(spark, fps)))) == len(set(want)) > 1
+
+
+def test_spread_against_all_pairs():
+    """Whatever is connected beforehand, trees reach what all pairs of the rows connect."""
+    rnd = np.random.default_rng(7)
+    for n in (1, 2, 30, 120):
+        fps = copies(rnd, n, 0.05, 0.2)
+        label = np.arange(n)
+        label[n // 2 :: 7] = n // 2
+        near = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2) <= 62
+        pairs = [*zip(*np.nonzero(near)), *enumerate(label)]
+        got = simhash._joined(label, [simhash._spread(rnd.permutation(n), label, fps, 62)])
+        want = groups_of(n, pairs)
+        assert len(set(zip(want, got.tolist()))) == len(set(want)) == len(set(got.tolist()))
+
+
 def test_least_tree():
     rnd = np.random.default_rng(1)
     for _ in range(100):
