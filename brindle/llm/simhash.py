@@ -414,7 +414,8 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def cluster(docs: DataFrame, scheme: Scheme = TWO_BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: id_col, other kept columns, node, fp, component_id (smallest id reachable, itself included).
+    """One row per row of docs: id_col, other kept columns, node, fp, root (the component's least node), component_id
+    (smallest id reachable, itself included).
 
     A null text is an empty one; texts without a word have fingerprint zero and are linked like any other; a null id
     takes part but is never a component's name unless its component has no other; repeated rows each give a row; an
@@ -429,7 +430,7 @@ def cluster(docs: DataFrame, scheme: Scheme = TWO_BITS, id_col: str = "doc_id",
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
     parts = placed.groupBy("root", "part").agg(F.min("least").alias("least"))
     parts = parts.select("root", "part", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
-    named = placed.join(parts, ["root", "part"]).select(F.col("node").alias("of"), "component_id")
+    named = placed.join(parts, ["root", "part"]).select(F.col("node").alias("of"), "root", "component_id")
     return rows.join(named, rows["node"] == named["of"], "left").drop("of", "check")
 
 
@@ -441,15 +442,18 @@ def op1(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, scheme: Scheme = FIVE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: that with the smallest id, all columns as they were.
 
-    Of rows that repeat id and text one stays, of ids that are null the one with the smallest text hash.
+    Of rows that repeat id and text one stays. In a group, of texts with the same id the one with the smallest hash stays,
+    and a null id only where there is no other; texts in different groups don't touch each other, whatever their ids.
     """
     key = F.xxhash64(text_col)
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), key.alias("__h"))
     c = cluster(own, scheme, "__id", "__t", ["__h"])
-    first = c.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("null_node")).agg(F.min(F.when(F.col("__id").eqNullSafe(F.col("component_id")), F.col("__h"))).alias("__h"), F.sum(F.when(F.col("__id").eqNullSafe(F.col("component_id")), 1)).alias("n"))
+    # ids needn't be unique: a group is told by its root, and its row by id and text; nulls come last
+    texts = c.groupBy("root", "__id", "__h").agg(F.count("*").alias("n"))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("null"), "__id", "__h", "n")).alias("f")).select("f.*")
     first = cut(first)
     repeated = first.where("n > 1").limit(1).count() > 0
-    stays = first.select(F.col("component_id").alias("__id"), F.col("__h").alias("__k"))
+    stays = first.select("__id", F.col("__h").alias("__k"))
     kept = docs.withColumn("__h", key)
     kept = kept.join(stays, kept[id_col].eqNullSafe(stays["__id"]) & (kept["__h"] == stays["__k"]), "left_semi")
     if repeated:
