@@ -2,8 +2,8 @@
 
 A page is read as a sequence of words and tags. Words score positive, tags negative; the weights depend on where
 they stand (inside an article, a list of links, a boilerplate container, ...) and are fitted on labelled pages by a
-perceptron over the sequence. One linear scan finds the contiguous region of the highest sum. Within the region,
-what stands in boilerplate containers is left out, and the rest is decoded and joined by blocks.
+perceptron over the sequence. What stands in boilerplate containers is never text and weighs nothing, so that it parts
+no article. One linear scan finds the contiguous region of the highest sum, which is decoded and joined by blocks.
 """
 
 from __future__ import annotations
@@ -32,16 +32,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an open p or li ends at.
 _ENDS_P = BLOCK - {"html", "body"}
-#: Words in class, id and role values that mark boilerplate.
+#: Words that mark boilerplate where a class, id or role value is made of nothing else, but for the words in NEUTRAL.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion promoted nav navbar navigation
 menu menus breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo widget cookie cookies consent gdpr notice notices alert
 popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus
-respond reply replies discussion form search pagination pager toolbar paywall disclaimer""".split())
-#: Marks that may also be part of an article's own header are read only on elements other than these.
+respond reply replies form search pagination pager toolbar paywall disclaimer""".split())
+#: Words that say nothing of what is in a container: ad-slot is an ad, post-header and notice-period are no marks.
+NEUTRAL = frozenset("site slot box bar unit container wrapper wrap block list links area section panel button buttons icons inner outer top bottom left right posts articles stories items".split())
+#: Elements whose class or id may mark boilerplate; a role or hidden counts on every element but those of KEEP.
+CONTAINERS = frozenset("div section aside ul ol dl table".split())
 KEEP = frozenset("html body main article".split())
 
 #: Score of one word or tag by its place.
-WEIGHTS = {"word_article": 1.0, "word_body": 1.0, "word_outside": -1.0, "word_link": -1.5, "word_boiler": -1.5, "tag": -0.05, "tag_link": -0.4, "tag_boiler": -0.4, "tag_skip": 0.0}
+WEIGHTS = {"word_article": 1.0, "word_body": 1.0, "word_outside": -1.0, "word_link": -1.5, "tag": -0.05, "tag_link": -0.4, "tag_skip": 0.0}
 
 
 class Item:
@@ -57,10 +60,11 @@ def _marked(name: str, attrs: str) -> bool:
     if not attrs or name in KEEP or ("class" not in attrs.lower() and "id" not in attrs.lower() and "role" not in attrs.lower()):
         return "hidden" in attrs and name not in KEEP and any(k.lower() == "hidden" for k, _ in _ATTR.findall(attrs))
     for k, v in _ATTR.findall(attrs):
-        if k.lower() in ("class", "id", "role"):
-            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", html.unescape(v.strip("\"'"))).lower())
-            if MARKS.intersection(words):
-                return True
+        if k.lower() == "role" or k.lower() in ("class", "id") and name in CONTAINERS:
+            for token in html.unescape(v.strip("\"'")).split():
+                words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w}
+                if words & MARKS and words <= MARKS | NEUTRAL:
+                    return True
         elif k.lower() == "hidden":
             return True
     return False
@@ -95,7 +99,7 @@ def parse(page: str) -> list[Item]:
         if (text := m["text"]) is not None or (text := m["cdata"]) is not None:
             words = len(text.split())
             if boiler:
-                kind = "word_boiler"
+                kind = "tag_skip"
             elif article or not has_article:
                 kind = "word_link" if links and not article else "word_article" if article else "word_body"
             else:
@@ -142,7 +146,7 @@ def parse(page: str) -> list[Item]:
         if name == "br":
             items.append(Item("tag", 0, " ", block, skip))
         inside = article or not has_article
-        kind = ("tag_skip" if article else "tag_boiler") if skip or boiler else "tag_link" if name in ("a", "li") and not inside else "tag"
+        kind = "tag_skip" if skip or boiler else "tag_link" if name in ("a", "li") and not inside else "tag"
         items.append(Item(kind, 1, None, block, skip))
     return items
 
@@ -192,11 +196,6 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     if not page:
         return ""
     items = parse(page)
-    # boilerplate inside an article doesn't part it: its words weigh nothing where an article stands around them
-    inside = _inside_article(items)
-    for x, own in zip(items, inside):
-        if x.skip and own:
-            x.kind = "tag_skip"
     s, e = best_region(items, weights or WEIGHTS)
     blocks: list[list[str]] = []
     last = None
@@ -211,14 +210,6 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _inside_article(items: list[Item]) -> list[bool]:
-    """Whether words of the article stand before and after each item."""
-    n = len(items)
-    first = next((i for i, x in enumerate(items) if x.kind == "word_article"), n)
-    last = next((i for i in range(n - 1, -1, -1) if items[i].kind == "word_article"), -1)
-    return [first < i < last for i in range(n)]
-
-
 def fit(pages: list[tuple[str, str]], rounds: int = 5, rate: float = 0.05) -> dict[str, float]:
     """Weights from labelled pages (html, main text): a structured perceptron with words held positive, tags negative.
 

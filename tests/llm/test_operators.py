@@ -342,6 +342,17 @@ def test_op8(spark):
     assert html_text.main_text(page, w) == want and w["word_article"] > 0 > w["tag"]
 
 
+def test_op8_keeps_text_around_boilerplate():
+    """Boilerplate parts no page, with or without an article, and marks are whole values on containers."""
+    intro, more, related = (" ".join(RND.choices(WORDS, k=k)) for k in (30, 100, 25))
+    page = f"<html><body>{{}}<p>{intro}</p><div class='related'>{related}</div><p>{more}</p>{{}}</body></html>"
+    for start, end in (("", ""), ("<article>", "</article>")):
+        assert html_text.main_text(page.format(start, end)) == f"{intro}\n{more}"
+    kept = "<section id='discussion'><h2 id='search'>Search</h2><p class='notice-period'>Notice</p></section>"
+    page = f"<article><div class='post-header'><h1>Head</h1></div>{kept}<div id='ad-slot'>Buy</div><ul class='share-buttons'><li>x</ul></article>"
+    assert html_text.main_text(page) == "Head\nSearch\nNotice"
+
+
 def test_best_region_against_all_regions():
     for _ in range(200):
         items = [html_text.Item(RND.choice(["word_article", "tag", "word_link"]), RND.randrange(4), None, 0, False) for _ in range(RND.randrange(12))]
