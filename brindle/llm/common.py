@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,19 @@ def release() -> None:
     _HELD.clear()
 
 
+def char_ranges(test: Callable[[str], bool]) -> str:
+    """The ranges of a character class, for a pattern."""
+    out, start = [], None
+    for i in range(sys.maxunicode + 2):
+        ok = i <= sys.maxunicode and not 0xD800 <= i < 0xE000 and test(chr(i))
+        if ok and start is None:
+            start = i
+        elif not ok and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set."""
     sc = spark.sparkContext
@@ -46,6 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def text_rows(df: DataFrame, text_col: str, *keep: str, binary: bool = False) -> DataFrame:
     """The kept columns and the text as __text, null as empty: only these columns reach the scan."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

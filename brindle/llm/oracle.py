@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brindle.llm.chat import _ESCAPE, CLOSE, MIDDLE, OPEN
 from brindle.llm.quality import CLASSES, COMMON, FAR_CLASSES, FAR_WORDS, MIN_DOCUMENTS, MIN_WORDS, WORDS
+from brindle.llm.warc import SECONDS, URL
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -79,17 +80,25 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def op9() -> str:
-    """Base32 is four characters for each five hex digits of the SHA-1."""
+    """Base32 is four characters for each five hex digits of the SHA-1. Captures of a URL key are numbered by time, id
+    (null first) and digest; times follow ids, but for ids out of the calendar, which have the time of id 0."""
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     digits = "".join(f" || '{alphabet}'[((v >> {s}) & 31) + 1]" for s in (15, 10, 5, 0))
+    small = f"translate(trim(regexp_replace(coalesce(url, ''), '[\\r\\n]+', ' ', 'g'), ' ' || chr(9)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-s AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM s),
+WITH p AS (SELECT page_id, {small} AS u, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, u, regexp_extract(u, {_text(URL)}, ['host', 'port', 'path', 'query']) AS m, regexp_matches(u, {_text(URL)}) AS ok, strlen(html) AS payload_bytes, sha1(html) AS sha FROM p),
+n AS (SELECT *, CASE WHEN NOT ok THEN u ELSE
+    array_to_string(list_reverse(string_split(regexp_replace(m.host, '^www[0-9]*[.]', ''), '.')), ',')
+    || CASE WHEN m.port IN ('', '80', '443') THEN '' ELSE ':' || m.port END || ')' || CASE WHEN m.path = '' THEN '/' ELSE m.path END
+    || CASE WHEN m.query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(m.query, '&')), '&') END END AS key FROM s),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM n),
 k AS (SELECT *, CASE WHEN page_id IS NULL OR page_id < last THEN last END AS refers_to,
-    list_transform(range(8), lambda i: CAST('0x' || substr(sha, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM m)
-SELECT page_id, payload_bytes, array_to_string(list_transform(parts, lambda v: ''{digits}), '') AS payload_digest,
-    CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM k"""
+    list_transform(range(8), lambda i: CAST('0x' || substr(sha, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM m),
+d AS (SELECT *, array_to_string(list_transform(parts, lambda v: ''{digits}), '') AS payload_digest FROM k)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+    row_number() OVER (PARTITION BY key ORDER BY CASE WHEN page_id BETWEEN {SECONDS[0]} AND {SECONDS[1]} THEN page_id ELSE 0 END, page_id NULLS FIRST, payload_digest) AS seq FROM d"""
 
 
 ORACLE = {"op6_quality": op6, "op7_chat": op7, "op9_warc": op9}

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import held, map_texts, text_rows
+from brindle.llm.common import char_ranges, held, map_texts, text_rows
 from brindle.llm.merging import Merging
 
 #: Characters of a chunk.
@@ -33,26 +32,13 @@ TRANSITIONS = 900_000
 SPACE = "\\t-\\r \x85\xa0  -     　"
 
 
-def _ranges(test) -> str:
-    """A character class's ranges."""
-    out, start = [], None
-    for i in range(sys.maxunicode + 2):
-        ok = i <= sys.maxunicode and not 0xD800 <= i < 0xE000 and test(chr(i))
-        if ok and start is None:
-            start = i
-        elif not ok and start is not None:
-            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return "".join(out)
-
-
 class Cutter:
     """The first machine: pretokens of the byte-level pattern. Python's classes serve where they mean the same."""
 
     PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
     def __init__(self) -> None:
-        other = _ranges(lambda c: unicodedata.category(c) in ("No", "Nl"))
+        other = char_ranges(lambda c: unicodedata.category(c) in ("No", "Nl"))
         self.odd = re.compile(f"[\x1c-\x1f{other}]")
         self.exact = None
 
@@ -60,8 +46,8 @@ class Cutter:
         if text.isascii() and not self.odd.search(text) or not self.odd.search(text):
             return self.PLAIN.findall(text)
         if self.exact is None:
-            letter = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-            number = _ranges(lambda c: unicodedata.category(c)[0] == "N")
+            letter = char_ranges(lambda c: unicodedata.category(c)[0] == "L")
+            number = char_ranges(lambda c: unicodedata.category(c)[0] == "N")
             self.exact = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         return self.exact.findall(text)
 

@@ -14,7 +14,7 @@ ODD = ["", None, " \n\t ", "one", "a\\b <|x|> [INST] </s>", "日本語 é 🙂\n
 SMALL = {
     "op6_quality": ("doc_id long, text string, lang string", [(i, t, ["en", None][i % 2]) for i, t in enumerate(ODD)] + [(None, ODD[6], "fr"), (3, "one", "en")] + [(100 + i, f"the of and {i} zu mit " * (9 + i), "de") for i in range(25)]),
     "op7_chat": ("conv_id long, turn long, role string, text string", [(i // 3, i % 3, ["user", "assistant", None][i % 3], t) for i, t in enumerate(ODD)] + [(7, None, "assistant", "x"), (7, 1, "assistant", "y"), (7, 1, "assistant", "y"), (7, 1, "assistant", "a<s>")]),
-    "op9_warc": ("page_id long, url string, html string", [(i, f"http://h/{i}", t) for i, t in enumerate(ODD)] + [(50, None, ODD[5]), (50, "u", ODD[5]), (None, "u", ODD[5]), (60, "u", "")]),
+    "op9_warc": ("page_id long, url string, html string", [(i, f"http://h/{i}", t) for i, t in enumerate(ODD)] + [(50, None, ODD[5]), (50, "u", ODD[5]), (None, "u", ODD[5]), (60, "u", ""), (60, "u", ""), (61, "HTTPS://me@WWW2.a.B:8080?b=2&a=1#x", "q"), (59, "//a.b:8080/?a=1&b=2", "r"), (1 << 60, "u", "far"), (-5, "u\\r\\n", "early"), (62, "http://h:80", "s"), (63, "http://h/", "t")]),
 }
 
 
