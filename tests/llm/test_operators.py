@@ -370,9 +370,49 @@ def test_op9(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(e), base64.b32encode(hashlib.sha1(e).digest()).decode())
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 5), 5: ("response", None), 3: ("revisit", 4), 4: ("response", None), 7: ("response", None), None: ("revisit", 5), 8: ("response", None)}
     assert warc.op9(df.limit(0)).collect() == []
+    assert {i: r.seq for i, r in got.items()} == {1: 1, 5: 1, 3: 1, 4: 1, 7: 1, None: 1, 8: 1}
     assert warc.url_key("http://www.A.com/x?b=1&a=2#f") == "com,a)/x?a=2&b=1"
 
 
+def test_op9_revisits_by_shuffle(spark, tmp_path):
+    """Beyond the bound of what is sent to every task: the same records."""
+    rows = [(RND.choice([i, i // 2, None]), f"u{i % 9}", RND.choice(["", None, "a", f"b{i % 20}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for sent in (0, warc.SENT):
+        warc.write(df, f"{tmp_path}/{sent}", sent=sent)
+        found.append(sorted(repr((r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to)) for r in warc.read(spark.read.parquet(f"{tmp_path}/{sent}")).collect()))
+    assert found[0] == found[1] and len(found[0]) == 200
+
+
+@pytest.mark.parametrize("lines", [3, 40, 8192])
+def test_histories_against_a_sort(spark, tmp_path, monkeypatch, lines):
+    """One URL with most captures, repeated rows, runs of five lines, ranges of few lines: numbers go on from range to range."""
+    monkeypatch.setattr(warc, "RUN", 5)
+    rows = [(RND.choice([i, 7, None]), RND.choice(["http://hot/"] * 3 + [f"http://h{i % 11}/?b&a", None]), RND.choice(["x", f"p{i % 5}"])) for i in range(300)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), f"{tmp_path}/a")
+    index = warc.cut(warc.read(spark.read.parquet(f"{tmp_path}/a")))
+    got = warc.histories(index, lines).collect()
+    want = sorted(index.collect(), key=warc._order)
+    seen = Counter()
+    for i, (g, w) in enumerate(zip(sorted(got, key=lambda r: r.place), want)):
+        seen[w.key] += 1
+        assert (g.place, g.seq, g.key, g.page_id, g.archive, g.offset) == (i, seen[w.key], w.key, w.page_id, w.archive, w.offset)
+    assert len(got) == len(rows) and warc.histories(index.limit(0)).collect() == []
+
+
+def test_members_by_windows():
+    import gzip
+
+    records = [bytes(RND.choices(b"abc", k=RND.randrange(1, 4000))) for _ in range(30)]
+    block = b"".join(gzip.compress(r) for r in records)
+    for window in (1, 7, 1 << 14):
+        got = list(warc.members(block, window))
+        assert [r for _, r in got] == records and all(gzip.decompress(block[a:b]) == r for (a, r), (b, _) in zip(got, [*got[1:], (len(block), b"")]))
+    with pytest.raises(ValueError):
+        list(warc.members(block[:-3]))
+
+
 def test_loser_tree():
     for k in range(9):
         runs = [sorted(RND.choices(range(50), k=RND.randrange(20))) for _ in range(k)]
@@ -390,6 +430,51 @@ def test_op10(spark, empty):
     assert langid.op10(empty).collect() == []
 
 
+def test_op10_words_and_brute_force(spark):
+    """Words are letters with their marks; a text's score is that of its subwords one by one, whatever the batch."""
+    find = lambda t: [w for p in langid.letters().pieces(t) for w in p]
+    assert find("½ ² Ⅷ ① 12 _") == [] and find("A½b Étude हिन्दी x²") == ["a", "b", "étude", "हिन्दी", "x"]
+    rng = np.random.default_rng(3)
+    m = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)), np.array([0.1, -0.1]), 0.7, 0.6)
+
+    def bucket(codes, extra):
+        h, mask = 0, (1 << 64) - 1
+        for k, c in enumerate(codes):
+            h = (h + (c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64)) & mask
+        h ^= extra & mask
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return (h >> 40) & (langid.BUCKETS - 1)
+
+    def score(text):
+        ids = []
+        for w in find(text):
+            s = [ord(c) for c in f"<{w}>"]
+            ids += [bucket(s, 0)] + [bucket(s[i : i + n], n * 0xC2B2AE3D27D4EB4F) for n in langid.GRAMS for i in range(len(s) - n + 1)]
+        if not ids:
+            return "und", 0.0
+        z = (m.logits[ids].mean(axis=0) + m.bias) / 0.7
+        p = np.exp(z) / np.exp(z).sum()
+        return m.languages[int(p.argmax())], float(p.max())
+
+    texts = [None, "", "½", "a", "x" * 300, "Ein Haus हिन्दी", *(t for t in TEXTS if t)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] * 2, "doc_id long, text string, score string").repartition(3)
+    got = langid.predict(df, m, ["doc_id"]).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        lang, p = score(texts[r.doc_id] or "")
+        assert r.lang_pred == lang and r.score == pytest.approx(p) and r.rejected == (p < 0.6)
+    small = langid.WordSums(m, numbers=600)  # a table that is emptied again and again
+    assert np.allclose(small.of([t or "" for t in texts]), langid.WordSums(m).of([t or "" for t in texts]))
+
+
+def test_op10_sample_is_the_same_however_dealt(spark):
+    rows = [(i % 50, f"text {i}", "en") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picks = [langid.sample(df.repartition(n), "doc_id", "text", "lang", most=30) for n in (1, 5)]
+    assert picks[0] == picks[1] and 0 < len(picks[0]) < 120
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
