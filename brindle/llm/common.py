@@ -46,9 +46,11 @@ def char_ranges(test: Callable[[str], bool]) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set, in local mode only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
     return named or sc.getCheckpointDir()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.operators.query import JournalQuery
@@ -12,7 +14,8 @@ from brindle.sources.entries import Entries
 
 
 class FileEntries(Entries):
-    """Entries read by the journal source. Exact global terms are handed to it as look-ups in the files' hash tables."""
+    """Entries read by the journal source. It gets the exact terms of each branch of the filter, and looks them up in the
+    files' hash tables; where a branch has none, files are scanned."""
 
     def __init__(self, spark: SparkSession, roots: list[str], limits: Limits) -> None:
         self._spark, self.roots, self.limits = spark, roots, limits
@@ -24,22 +27,15 @@ class FileEntries(Entries):
         return self._spark
 
     def load(self, **options: str) -> DataFrame:
-        if self.limits.include_tilde_files:
-            options["tilde"] = "true"
-        return self._spark.read.format("journal").options(**options).load(",".join(self.roots))
+        return self._spark.read.format("journal").options(**datasource.options_of(self.limits), **options).load(",".join(self.roots))
 
     def keys(self) -> DataFrame:
         return self.load(decode_fields="false").drop("fields")
 
     def select(self, query) -> DataFrame:
-        matches = {}
-        for i, (name, value) in enumerate(query.globals):
-            if value is not None:
-                try:
-                    matches[f"match.{i}"] = f"{name}={value.decode('utf-8')}"
-                except UnicodeDecodeError:
-                    continue
-        df, bounds, terms = self.load(**matches), query.bounds(), query.column()
+        branches = [[n.encode() + b"=" + v for n, v in (*query.globals, *g) if v is not None] for g in query.groups or [[]]]
+        options = {"branches": json.dumps([[x.hex() for x in b] for b in branches])} if all(branches) else {}
+        df, bounds, terms = self.load(**options), query.bounds(), query.column()
         if bounds is not None:
             df = df.where(bounds)
         return df if terms is None else df.where(terms)
@@ -65,8 +61,8 @@ class Journal:
     def open_dirs(cls, spark: SparkSession, paths: list[str], limits: Limits | None = None) -> Journal:
         return cls(spark, list(paths), limits)
 
-    def entries(self) -> DataFrame:
-        return FileEntries(self.spark, self.roots, self.limits).df
+    def entries(self, **options: str) -> DataFrame:
+        return FileEntries(self.spark, self.roots, self.limits).load(**options)
 
     def query(self) -> JournalQuery:
         return JournalQuery(FileEntries(self.spark, self.roots, self.limits), self.limits)
@@ -76,7 +72,7 @@ class Journal:
         return self.query().at_cursor(cursor)
 
     def catalogue(self) -> DataFrame:
-        """One row for each file: path, ids, count and the times of its header."""
+        """One row for each file: path, ids, count and the times of its header. What the driver read when the journal was opened."""
         rows = [(p, h.file_id, h.seqnum_id, h.n_entries, h.head_realtime, h.tail_realtime, h.sealed) for p, h in self.files]
         return self.spark.createDataFrame(rows, "path string, file_id binary, seqnum_id binary, n_entries bigint, head_realtime bigint, tail_realtime bigint, sealed boolean")
 

@@ -77,7 +77,7 @@ class NotFound(JournalError):
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of reading, querying and tailing."""
+    """Bounds of reading, querying and tailing. Names and defaults of the bounds are fixed values."""
 
     max_object_size_bytes: int = 16 << 20
     max_decompressed_bytes: int = 1 << 20
@@ -93,12 +93,21 @@ class Limits:
     max_live_replay_entries: int | None = None
     queue_full_policy: str = "block"
     include_tilde_files: bool = False
+    #: auto: files that no one writes to are mapped, files online only where that is allowed; never: none is
+    mmap_policy: str = "auto"
     allow_mmap_online: bool = False
+    #: time bounds are looked up by binary search in files; false: every entry's time is compared
+    seek_realtime: bool = True
+
+    def maps(self, online: bool) -> bool:
+        return self.mmap_policy != "never" and (not online or self.allow_mmap_online)
 
     def check(self) -> Limits:
         for name in ("max_object_size_bytes", "max_decompressed_bytes", "max_field_name_len", "max_fields_per_entry", "max_journal_files", "max_open_files", "max_chain_steps", "max_query_terms"):
             if getattr(self, name) <= 0:
                 raise InvalidQuery(f"{name} must be non-zero")
+        if self.mmap_policy not in ("auto", "never"):
+            raise InvalidQuery(f"unknown mmap policy {self.mmap_policy}")
         return self
 
     def check_live(self) -> Limits:

@@ -1,44 +1,76 @@
-"""Spark data source "journal": one partition for each file in batch, a bounded tail in streams.
+"""Spark data source "journal": one partition for each file in batch, and for each file with new entries in streams.
 
 Options: path (comma-separated roots), mode (FAILFAST, or PERMISSIVE: a file's error ends that file and is logged),
-match (FIELD=value, looked up in each file's hash table; Spark evaluates the filter again), decode_fields (false: empty
-fields), tilde (true: *.journal~ too), startingOffsets (latest, earliest, or JSON of {file id in hex: entries}) and maxEntriesPerBatch in streams. The
-folders must be visible to driver and executors under the same path.
+branches (JSON list of lists of FIELD=value in hex: entries that hold all of one list are looked up in each file's hash
+table; Spark evaluates the filter again), decode_fields (false: empty fields), limits (JSON of Limits), startingOffsets
+(latest, earliest, or JSON of {file id in hex: slots}), maxEntriesPerBatch and fresh (true: nothing is checkpointed yet)
+in streams. The folders must be visible to
+driver and executors under the same path.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Iterator
-from dataclasses import replace
+import time
+from collections.abc import Iterable, Iterator
+from dataclasses import asdict
+from itertools import chain, islice
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from brindle.plans.model import ENTRY, JournalError, Limits
+from brindle.plans.model import ENTRY, JournalError, Limits, Transient
 from brindle.sources.discovery import list_files, usable
-from brindle.sources.format import JournalFile
+from brindle.sources.format import Header, JournalFile
 
 log = logging.getLogger(__name__)
 
+#: Rows of a batch.
+ROWS = 2048
+_FIELD = pa.struct([pa.field("name", pa.string(), False), pa.field("value", pa.binary(), False)])
+_LISTS = pa.list_(pa.field("element", _FIELD, False))
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
+_SCHEMA = pa.schema([*(pa.field(f.name, k, f.nullable) for f, k in zip(ENTRY, _KINDS)), pa.field("fields", _LISTS, False)])
+
+
+def options_of(limits: Limits) -> dict[str, str]:
+    """The options that carry limits to the tasks."""
+    return {"limits": json.dumps(asdict(limits))}
+
 
 def _limits(options: dict) -> Limits:
-    out = Limits()
-    if str(options.get("tilde", "false")).lower() == "true":
-        out = replace(out, include_tilde_files=True)
-    return out
+    return Limits(**json.loads(options["limits"])) if options.get("limits") else Limits()
 
 
 def _roots(options: dict) -> list[str]:
     return [p for p in str(options.get("path", "")).split(",") if p]
 
 
+def _files(options: dict, limits: Limits) -> list[tuple[str, Header]]:
+    return usable(list_files(_roots(options), limits), limits)
+
+
+def batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of JournalFile.entries() as Arrow batches of ENTRY."""
+    rows = iter(rows)
+    while some := list(islice(rows, ROWS)):
+        *keys, fields = zip(*some)
+        offsets = [0]
+        for f in fields:
+            offsets.append(offsets[-1] + len(f))
+        flat = list(chain.from_iterable(fields))
+        items = pa.StructArray.from_arrays([pa.array([n for n, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.binary())], fields=list(_FIELD))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, type=_LISTS)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(keys, _KINDS)), lists], schema=_SCHEMA)
+
+
 class FilePart(InputPartition):
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, start: int = 0, end: int | None = None) -> None:
         super().__init__(path)
-        self.path = path
+        self.path, self.start, self.end = path, start, end
 
 
 class BatchReader(DataSourceReader):
@@ -60,92 +92,97 @@ class BatchReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[FilePart]:
+        """Files whose times may meet the bounds. A file without times in its header has those of its ends."""
         out = []
-        for path, header in usable(list_files(_roots(self.options), self.limits), self.limits):
-            if (self.since is not None or self.until is not None) and header.head_realtime is None:
+        for path, header in _files(self.options, self.limits):
+            lo, hi = header.head_realtime, header.tail_realtime
+            if (self.since is not None or self.until is not None) and lo is None:
                 try:
                     with JournalFile(path, self.limits) as f:
-                        r = f.range()
+                        if r := f.range():
+                            lo, hi = r[0].realtime_usec, r[1].realtime_usec
                 except JournalError:
-                    r = None
-                lo, hi = (r[0].realtime_usec, r[1].realtime_usec) if r else (None, None)
-            else:
-                lo, hi = header.head_realtime, header.tail_realtime
+                    pass
             if lo is not None and hi is not None and (self.since is not None and hi < self.since or self.until is not None and lo > self.until):
                 continue
             out.append(FilePart(path))
         return out
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        wanted = [v.encode("utf-8", "surrogateescape") for k, v in sorted(self.options.items()) if k == "match" or k.startswith("match.")]
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        wanted = [[bytes.fromhex(x) for x in b] for b in json.loads(self.options.get("branches") or "[]")]
         decode = str(self.options.get("decode_fields", "true")).lower() != "false"
         try:
             with JournalFile(partition.path, self.limits) as f:
-                only: set[int] | None = None
-                for payload in wanted:
-                    try:
-                        got = f.lookup(payload)
-                    except JournalError:
-                        got = None  # a broken table: scan
-                    if got is not None:
-                        only = got if only is None else only & got
-                for row in f.entries(self.since, self.until, only):
-                    yield row if decode else (*row[:-1], [])
+                only = f.branches(wanted) if wanted else None
+                yield from batches(f.entries(self.since, self.until, only, decode=decode))
         except JournalError as e:
             if str(self.options.get("mode", "FAILFAST")).upper() != "PERMISSIVE":
                 raise
             log.warning("%s: %s", partition.path, e)
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Offset: {file id: entries consumed}. A batch holds at most maxEntriesPerBatch entries, which the driver reads."""
+class TailReader(DataSourceStreamReader):
+    """Offset: {file id: slots consumed}. A batch holds at most maxEntriesPerBatch new slots, one task a file.
+
+    The driver reads headers only. Spark asks for the end of a query's first batch without saying what a checkpoint holds,
+    so that batch is bounded only if the query is said to be fresh. A file that has become shorter goes on from its new end.
+    """
 
     def __init__(self, options: dict) -> None:
         self.options, self.limits = options, _limits(options)
         self.most = int(options.get("maxentriesperbatch", options.get("maxEntriesPerBatch", self.limits.max_live_batch_entries)))
+        self.planned: dict[str, int] | None = None
 
-    def _files(self) -> list[tuple[str, str, int]]:
+    def _counts(self) -> dict[str, tuple[str, int]]:
         try:
-            return [(h.file_id.hex(), p, h.n_entries) for p, h in usable(list_files(_roots(self.options), self.limits), self.limits)]
+            return {h.file_id.hex(): (p, h.n_entries) for p, h in _files(self.options, self.limits)}
         except JournalError as e:
             log.warning("tail: %s", e)
-            return []
+            return {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         start = str(self.options.get("startingoffsets", self.options.get("startingOffsets", "latest")))
         if start.startswith("{"):
-            return json.loads(start)
-        return {} if start.lower() == "earliest" else {i: n for i, _, n in self._files()}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end, rows = dict(start), []
-        for file_id, path, n in self._files():
-            have = int(start.get(file_id, 0))
-            room = self.most - len(rows)
-            if n > have and room > 0:
-                try:
-                    got = self._slice(path, have, min(n, have + room))
-                except JournalError as e:  # being written: the next batch tries again
-                    log.warning("%s: %s", path, e)
-                    continue
-                rows += got
-                end[file_id] = have + len(got)
-        return iter(rows), end
-
-    def _slice(self, path: str, start: int, end: int) -> list[tuple]:
-        out = []
-        with JournalFile(path, self.limits) as f:
-            for row in f.entries(skip=start):
-                if len(out) >= end - start:
-                    break
-                out.append(row)
-        return out
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        for file_id, path, _ in self._files():
-            a, b = int(start.get(file_id, 0)), int(end.get(file_id, 0))
-            if b > a:
-                yield from self._slice(path, a, b)
+            self.planned = json.loads(start)
+        else:
+            self.planned = {} if start.lower() == "earliest" else {i: n for i, (_, n) in self._counts().items()}
+        return self.planned
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        counts = self._counts()
+        if self.planned is None and str(self.options.get("fresh", "false")).lower() == "true":
+            self.initialOffset()  # Spark asks for the end of the first batch before its start
+        end, room = dict(self.planned or {}), self.most if self.planned is not None else None
+        for i, (_, n) in counts.items():
+            have = int(end.get(i, 0))
+            more = n - have if room is None else min(n - have, room)
+            if more != 0:
+                end[i] = have + more
+            if room is not None and more > 0:
+                room -= more
+        return end
+
+    def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        self.planned = dict(end)
+        paths = self._counts()
+        return [FilePart(paths[i][0], int(start.get(i, 0)), int(n)) for i, n in sorted(end.items()) if int(n) > int(start.get(i, 0)) and i in paths]
+
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        """A file that is being written is tried again; what stays broken is logged and passed over."""
+        done = 0
+        for attempt in range(5):
+            try:
+                with JournalFile(partition.path, self.limits) as f:
+                    for b in batches(islice(f.entries(skip=partition.start, stop=partition.end), done, None)):
+                        yield b
+                        done += b.num_rows
+                return
+            except Transient:
+                time.sleep(0.1 * (attempt + 1))
+            except JournalError as e:
+                log.warning("%s: %s", partition.path, e)
+                return
+        log.warning("%s: still being written", partition.path)
 
     def commit(self, end: dict) -> None:
         pass
@@ -162,7 +199,7 @@ class JournalSource(DataSource):
     def reader(self, schema: StructType) -> BatchReader:
         return BatchReader(dict(self.options))
 
-    def simpleStreamReader(self, schema: StructType) -> TailReader:  # noqa: N802
+    def streamReader(self, schema: StructType) -> TailReader:  # noqa: N802
         return TailReader(dict(self.options))
 
 

@@ -37,13 +37,16 @@ def _compress(kind: str | None, payload: bytes) -> tuple[bytes, int, int]:
     return payload, 0, 0
 
 
-def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries: list[list[tuple[str, bytes]]] | None = None, compact: bool = False, keyed: bool = False, compression: str | None = None, seal: object = None, epochs: tuple[int, ...] = (0, 1), buckets: int = 4, step: int = 100) -> None:
+def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries: list[list[tuple[str, bytes]]] | None = None, compact: bool = False, keyed: bool = False, compression: str | None = None, seal: object = None, epochs: tuple[int, ...] = (0, 1), buckets: int = 4, step: int = 100, heads: list[tuple[int, int, int, bytes, int]] | None = None, ids: tuple[bytes, bytes, bytes] | None = None, first_array: int = 64, state: int = 1) -> None:
     """A file of one entry for each unit (or each given list of fields).
 
+    heads: (seqnum, realtime, monotonic, boot id, xor hash) of each entry; ids: file, machine and seqnum id. Entries go
+    to a chain of arrays, the first of first_array slots and each further one of twice as many.
+
     Equal payloads share one DATA object, with an array of its further entries. seal: an Fsprg; then a tag stands
     before the first and after the last entry.
     """
-    file_id = ident(seed)
+    file_id, machine_id, seqnum_id = ids or (ident(seed), ident(seed + 17), ident(seed + 51))
     rows = entries if entries is not None else [unit_fields(seed, i, u) for i, u in enumerate(units or [])]
     size, out = 272, bytearray(272)
     flags = (COMPACT if compact else 0) | (KEYED if keyed else 0)
@@ -60,7 +63,14 @@ def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries:
 
     table = put(DATA_HASH, b"\0" * 16 * buckets) + 16
     width, code = (4, "I") if compact else (8, "Q")
-    array = put(ENTRY_ARRAY, b"\0" * 8 + b"\0" * width * max(64, len(rows)))
+    slots, array, n_slots = [], 0, first_array  # place of each slot
+    while len(slots) < max(1, len(rows)):
+        at = put(ENTRY_ARRAY, b"\0" * 8 + b"\0" * width * n_slots)
+        if slots:
+            struct.pack_into("<Q", out, last + 16, at)
+        array, last = array or at, at
+        slots += [at + 24 + width * i for i in range(n_slots)]
+        n_slots *= 2
     tags: list[tuple[int, int]] = []
 
     def tag(epoch: int) -> None:
@@ -85,19 +95,19 @@ def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries:
                 at = put(DATA, struct.pack("<Q", h) + b"\0" * (head_at - 24) + packed, flag)
                 data[p] = (at, h)
                 slot = table + h % buckets * 16
-                first, last = struct.unpack_from("<QQ", out, slot)
-                if last:
-                    struct.pack_into("<Q", out, last + 24, at)
+                first, final = struct.unpack_from("<QQ", out, slot)
+                if final:
+                    struct.pack_into("<Q", out, final + 24, at)
                 struct.pack_into("<QQ", out, slot, first or at, at)
             at, h = data[p]
             items += struct.pack("<I", at) if compact else struct.pack("<QQ", at, h)
         rt = BASE + seed * 10_000 + i * step
-        body = struct.pack("<QQQ16sQ", i + 1, rt, rt - 123, ident(seed + 34), 0) + items
+        body = struct.pack("<QQQ16sQ", *((i + 1, rt, rt - 123, ident(seed + 34), 0) if heads is None else heads[i])) + items
         if len(body) % 8:
             body += b"\0" * (-len(body) % 8)
         entry = put(ENTRY, body)
         where.append(entry)
-        struct.pack_into(f"<{code}", out, array + 24 + width * i, entry)
+        struct.pack_into(f"<{code}", out, slots[i], entry)
         for p in dict.fromkeys(payloads):
             holders.setdefault(p, []).append(entry)
     for p, es in holders.items():
@@ -109,10 +119,13 @@ def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries:
     tail = objects[-1][0]
     n = len(where)
     rt0, rt1 = BASE + seed * 10_000, BASE + seed * 10_000 + max(0, n - 1) * step
-    struct.pack_into("<8sIIB7x", out, 0, SIGNATURE, SEALED if seal is not None else 0, flags, 1)
-    struct.pack_into("<16s16s16s16s", out, 24, file_id, ident(seed + 17), ident(seed + 34), ident(seed + 51))
+    seq0, seq1 = 1 if n else 0, n
+    if heads:
+        (seq0, rt0), (seq1, rt1) = heads[0][:2], heads[n - 1][:2]
+    struct.pack_into("<8sIIB7x", out, 0, SIGNATURE, SEALED if seal is not None else 0, flags, state)
+    struct.pack_into("<16s16s16s16s", out, 24, file_id, machine_id, ident(seed + 34), seqnum_id)
     struct.pack_into("<QQQQQQQQQ", out, 88, size, len(out) - size, table, 16 * buckets, 0, 0, tail, len(objects), n)
-    struct.pack_into("<QQQQQ", out, 160, n, 1 if n else 0, array, rt0 if n else 0, rt1 if n else 0)
+    struct.pack_into("<QQQQQ", out, 160, seq1, seq0, array, rt0 if n else 0, rt1 if n else 0)
     struct.pack_into("<Q", out, 264, where[-1] if where else 0)
     if seal is not None:
         _seal(out, objects, tags, seal, compact)

@@ -1,25 +1,38 @@
 """Live tailing: one Structured Streaming query for any number of subscriptions, with replay before live.
 
-A subscription that starts in the past replays (after, upper] by bounded batch queries, upper being the newest key at
-the time; entries that arrive meanwhile are replayed too (catch-up), then it goes live. Live micro-batches are decoded
-once; which subscriptions an entry goes to is one array column, and the rows, at most max_live_batch_entries, are put
-into the subscriptions' bounded queues.
+A cycle, poll_once(), lets the stream through for one micro-batch of at most max_live_batch_entries entries. It is decoded
+once; which subscriptions an entry goes to is one array column, and the rows are put into bounded queues. With the block
+policy what a full queue can't take is parked with its subscription, and no further batch is let through until it is gone:
+the stream waits, not the caller.
+
+A subscription that starts in the past replays by bounded batch queries what the files held at a snapshot (the last entry
+of each file), then, as catch-up, what they held at a later one, until nothing is new; then it goes live. Live entries that
+a snapshot covers are skipped, so each entry comes once, whatever its time. One lock spans a cycle and every hand-over.
 """
 
 from __future__ import annotations
 
+import ast
 import json
 import queue
 import tempfile
+import threading
+import time
+import uuid
+from collections import deque
 from collections.abc import AsyncIterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.plans.cursor import Cursor
-from brindle.plans.model import KEY, JournalError, Key, LimitExceeded, Limits
+from brindle.plans.model import KEY, JournalError, Key, LimitExceeded, Limits, beyond
 from brindle.plans.predicates import Filter
-from brindle.sources.entries import last_seen, replay_batch
+from brindle.sources import datasource, discovery
+from brindle.sources.format import JournalFile
+
+#: file id in hex -> (slots, offset of the last entry, its key); files without entries have offset 0 and no key.
+Snapshot = dict[str, tuple[int, int, Key | None]]
 
 
 class Closed(JournalError):
@@ -27,35 +40,41 @@ class Closed(JournalError):
 
 
 class Subscription:
-    def __init__(self, flt: Filter, limits: Limits, after: Key | None, cursor: Cursor | None, since: int | None, replay: bool) -> None:
+    def __init__(self, flt: Filter, limits: Limits, after: Key | None, since: int | None, armed: Key | None, replaying: bool) -> None:
         flt.check()
-        self.filter, self.limits = flt, limits
-        self.cursor, self.since = cursor, since
-        self.last, self.replaying, self.replayed = after, replay, 0
-        self.upper: Key | None = None
-        self.armed = after  # live entries up to this key are skipped until one has passed
+        self.filter, self.limits, self.since = flt, limits, since
+        self.last, self.replaying, self.replayed = after, replaying, 0
+        self.lower: Snapshot = {}
+        self.upper: Snapshot = {}
+        self.armed = armed  # live entries up to this key are skipped until one has passed
         self.queue: queue.Queue = queue.Queue(limits.live_channel_capacity)
+        self.parked: deque = deque()
         self.closed = False
 
     def put(self, item: Row | JournalError) -> bool:
-        """Whether the item was delivered, by the policy for a full queue."""
+        """Whether the item was delivered, by the policy for a full queue. Never waits."""
         if self.closed:
             return False
         policy = self.limits.queue_full_policy
-        try:
-            if policy == "block":
-                while not self.closed:
-                    try:
-                        self.queue.put(item, timeout=0.1)
-                        return True
-                    except queue.Full:
-                        continue
-                return False
-            self.queue.put_nowait(item)
-        except queue.Full:
-            self.closed = self.closed or policy == "disconnect"
-            return False
-        return True
+        if not self.parked:
+            try:
+                self.queue.put_nowait(item)
+                return True
+            except queue.Full:
+                self.closed = policy == "disconnect"
+        if policy == "block":
+            self.parked.append(item)
+        return False
+
+    def flush(self) -> int:
+        """Moves what is parked into the queue as far as there is room. Returns how many."""
+        n = 0
+        while self.parked and not self.closed and not self.queue.full():
+            self.queue.put_nowait(self.parked.popleft())
+            n += 1
+        if self.closed:
+            self.parked.clear()
+        return n
 
     def recv(self, timeout: float | None = None) -> Row:
         """The next entry. queue.Empty after the time-out, Closed at the end; errors are raised in their place."""
@@ -106,6 +125,18 @@ class Subscription:
         self.close()
 
 
+def _offset(snapshot: Snapshot, otherwise: int) -> Column:
+    """The last offset that a snapshot has of a row's file."""
+    if not snapshot:
+        return F.lit(otherwise).cast("bigint")
+    ends = F.create_map(*(x for i, (_, at, _) in snapshot.items() for x in (F.lit(i), F.lit(at).cast("bigint"))))
+    return F.coalesce(F.try_element_at(ends, F.lower(F.hex("file_id"))), F.lit(otherwise).cast("bigint"))
+
+
+def _newest(snapshot: Snapshot) -> Key | None:
+    return max((k for _, _, k in snapshot.values() if k is not None), default=None)
+
+
 class LiveJournal:
     def __init__(self, spark: SparkSession, roots: list[str], limits: Limits | None = None, checkpoint: str | None = None) -> None:
         from brindle.operators.journal import Journal
@@ -113,120 +144,189 @@ class LiveJournal:
         self.limits = (limits or Limits()).check().check_live()
         self.journal = Journal(spark, roots, self.limits)
         self.spark, self.roots = spark, [str(r) for r in roots]
+        datasource.register(spark)
         self.subscriptions: list[Subscription] = []
-        self.delivered = 0
-        # counted before the query starts, which takes a while: what is appended meanwhile is live
-        tail = {h.file_id.hex(): h.n_entries for _, h in self.journal.files}
-        self.newest = self._newest()
-        self.round = 0
-        stream = spark.readStream.format("journal").option("startingOffsets", json.dumps(tail)).option("maxEntriesPerBatch", self.limits.max_live_batch_entries)
-        if self.limits.include_tilde_files:
-            stream = stream.option("tilde", "true")
-        where = checkpoint or self._checkpoint()
-        self.query = stream.load(",".join(self.roots)).writeStream.foreachBatch(self._dispatch).option("checkpointLocation", where).start()
+        self.lock = threading.RLock()
+        self.permits, self.ready = threading.Semaphore(0), queue.Queue()
+        self.stopped, self.round = False, 0
+        # taken before the query starts, which takes a while: what is appended meanwhile is live
+        tail = self._snapshot()
+        self.newest = _newest(tail)
+        self.consumed = {i: n for i, (n, _, _) in tail.items()}
+        options = datasource.options_of(self.limits) | {"startingOffsets": json.dumps(self.consumed), "maxEntriesPerBatch": str(self.limits.max_live_batch_entries), "fresh": str(checkpoint is None)}
+        stream = spark.readStream.format("journal").options(**options).load(",".join(self.roots))
+        self.query = stream.writeStream.foreachBatch(self._dispatch).option("checkpointLocation", checkpoint or self._checkpoint()).start()
+
+    @classmethod
+    def open_default(cls, spark: SparkSession, limits: Limits | None = None) -> LiveJournal:
+        return cls(spark, discovery.default_roots(), limits)
+
+    @classmethod
+    def open_dir(cls, spark: SparkSession, path: str, limits: Limits | None = None) -> LiveJournal:
+        return cls(spark, [path], limits)
+
+    @classmethod
+    def open_dirs(cls, spark: SparkSession, paths: list[str], limits: Limits | None = None) -> LiveJournal:
+        return cls(spark, list(paths), limits)
 
     def _checkpoint(self) -> str:
-        named = self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if named:
-            import uuid
-
+        """A folder of its own in the shared one; a local one in local mode only."""
+        sc = self.spark.sparkContext
+        if named := sc.getConf().get("spark.checkpoint.dir"):
             return f"{named}/live-{uuid.uuid4().hex}"
+        if not sc.master.split("[")[0] == "local":
+            raise JournalError("live tailing on a cluster needs spark.checkpoint.dir or a checkpoint folder")
         return tempfile.mkdtemp(prefix="brindle-live-")
 
-    def _newest(self) -> Key | None:
-        row = last_seen(self.journal.query().source.keys()).first()
-        return Key.of(row) if row else None
+    def _snapshot(self) -> Snapshot:
+        """Where each file ends now, from headers and last entries alone. Files that can't be read are passed over; if
+        none can, the first error is raised."""
+        out: Snapshot = {}
+        error: JournalError | None = None
+        for path, header in discovery.usable(discovery.list_files(self.roots, self.limits), self.limits):
+            try:
+                with JournalFile(path, self.limits) as f:
+                    next(f.entry_offsets(), None)  # a broken array shows here
+                    at = f.last_entry()
+                    out[header.file_id.hex()] = (f.header.n_entries, at or 0, f.head(at)[0] if at else None)
+            except JournalError as e:
+                error = error or e
+        if not out and error is not None:
+            raise error
+        return out
 
     def filter(self) -> Filter:
         return Filter(self.limits)
 
     def subscribe(self, flt: Filter | None = None) -> Subscription:
         """Live entries beyond the newest key of now."""
-        s = Subscription(flt or self.filter(), self.limits, self.newest, None, None, False)
-        self.subscriptions.append(s)
-        return s
+        with self.lock:
+            s = Subscription(flt or self.filter(), self.limits, None, None, self.newest, False)
+            self.subscriptions.append(s)
+            return s
 
     def subscribe_from(self, flt: Filter | None = None, after_cursor: Cursor | None = None, since_realtime: int | None = None) -> Subscription:
-        """Replay of what matches from the cursor and time on, then live. Without either: from the beginning."""
+        """Replay of what matches beyond the cursor and from the time on, then live. Without either: from the beginning."""
         after = self.journal.query().resolve(after_cursor) if after_cursor else None
-        s = Subscription(flt or self.filter(), self.limits, after, after_cursor, since_realtime, True)
-        s.upper = self._newest()
-        self.subscriptions.append(s)
-        return s
+        with self.lock:
+            s = Subscription(flt or self.filter(), self.limits, after, since_realtime, None, True)
+            s.upper = self._snapshot()
+            self.subscriptions.append(s)
+            return s
 
     def poll_once(self) -> int:
-        """One cycle: closed subscriptions go, live work is drained, one replay batch is made. Returns what was delivered."""
-        before = self.delivered
-        self.subscriptions = [s for s in self.subscriptions if not s.closed]
-        self.query.processAllAvailable()
-        waiting = [s for s in self.subscriptions if s.replaying]
-        if waiting:
-            self.round += 1
-            self._replay(waiting[self.round % len(waiting)])
-        return self.delivered - before
+        """One bounded cycle: closed subscriptions go; what is parked is delivered, and while anything is left of it the
+        cycle ends; one live batch; if it delivered nothing, one replay batch. Returns how many entries were delivered."""
+        with self.lock:
+            self.subscriptions = [s for s in self.subscriptions if not s.closed]
+            delivered = sum(s.flush() for s in self.subscriptions)
+            if any(s.parked for s in self.subscriptions):
+                return delivered
+            delivered += self._live_batch()
+            waiting = [s for s in self.subscriptions if s.replaying and not s.closed]
+            if waiting and not delivered:
+                self.round += 1
+                delivered += self._replay(waiting[self.round % len(waiting)])
+            return delivered
 
     def run(self) -> None:
         """Until no subscription is left."""
-        import time
-
         while any(not s.closed for s in self.subscriptions):
             if not self.poll_once():
                 time.sleep(self.limits.poll_interval_ms / 1000)
 
     def stop(self) -> None:
+        self.stopped = True
         self.query.stop()
         for s in self.subscriptions:
             s.close()
 
-    def _replay(self, s: Subscription) -> None:
-        if s.upper is None:  # nothing was there: what has come since is the catch-up
-            s.upper = self._newest()
-            s.replaying = s.upper is not None
-            return
-        n = self.limits.max_live_batch_entries
-        df = self.journal.entries().where(s.filter.always())
+    def _replay(self, s: Subscription) -> int:
+        n, delivered = self.limits.max_live_batch_entries, 0
+        df = self.journal.entries(mode="PERMISSIVE").where(s.filter.always())
         if s.since is not None:
             df = df.where(F.col("realtime_usec") >= s.since)
-        rows = replay_batch(df, s.last, s.upper, n).collect()
+        if s.last is not None:
+            df = df.where(beyond(s.last, False))
+        df = df.where((F.col("entry_offset") > _offset(s.lower, -1)) & (F.col("entry_offset") <= _offset(s.upper, -1)))
+        rows = df.orderBy(*KEY).limit(n + 1).collect()  # one more tells whether the replay is done
         for r in rows[:n]:
             cap = self.limits.max_live_replay_entries
             if cap is not None and s.replayed >= cap:
-                s.put(LimitExceeded("live replay entries", cap))
                 s.close()
-                return
+                raise LimitExceeded("live replay entries", cap)
             s.last, s.replayed = Key.of(r), s.replayed + 1
-            self.delivered += s.put(r)
+            delivered += s.put(r)
         if len(rows) <= n:
-            now = self._newest()
-            if now is not None and now > s.upper:
-                s.last, s.upper, s.replayed = s.upper, now, 0
+            now = self._snapshot()
+            if any(at > s.upper.get(i, (0, 0, None))[1] for i, (_, at, _) in now.items()):
+                s.lower, s.upper, s.replayed, s.last = s.upper, now, 0, None
             else:
-                s.last = s.armed = s.upper
                 s.replaying = False
+        return delivered
+
+    def _live_batch(self) -> int:
+        """Lets the stream through for one batch, if files have grown or are new, and delivers it."""
+        try:
+            now = {h.file_id.hex(): h.n_entries for _, h in discovery.usable(discovery.list_files(self.roots, self.limits), self.limits)}
+        except JournalError:
+            return 0
+        if all(self.consumed.get(i, 0) == n for i, n in now.items()):
+            return 0
+        self.permits.release()
+        while True:
+            try:
+                rows, newest, batch_id = self.ready.get(timeout=0.1)
+                break
+            except queue.Empty:
+                if (e := self.query.exception()) is not None:
+                    raise e from None
+                if not self.query.isActive:
+                    return 0
+        self._advance(batch_id)
+        if len({bytes(r["file_id"]) for r in rows}) > 1:
+            rows.sort(key=Key.of)
+        else:
+            rows.sort(key=lambda r: r["entry_offset"])  # the file's order
+        delivered = 0
+        for r in rows:
+            key = Key.of(r)
+            for i in r["__to"]:
+                s = self.subscriptions[i]
+                if s.armed is not None:
+                    if key <= s.armed:
+                        continue
+                    s.armed = None
+                if r["entry_offset"] > s.upper.get(key.file_id.hex(), (0, 0, None))[1]:
+                    delivered += s.put(r)
+        if newest is not None:
+            self.newest = newest if self.newest is None else max(self.newest, newest)
+        return delivered
+
+    def _advance(self, batch_id: int) -> None:
+        """Waits for the batch's end and takes over what the stream has consumed."""
+        end = time.monotonic() + 30
+        while time.monotonic() < end and self.query.isActive:
+            p = self.query.lastProgress
+            if p is not None and p["batchId"] >= batch_id:
+                offset = p["sources"][0]["endOffset"]
+                self.consumed = ast.literal_eval(offset) if isinstance(offset, str) else dict(offset)
+                return
+            time.sleep(0.01)
 
     def _dispatch(self, batch: DataFrame, batch_id: int) -> None:
-        live = {str(i): s for i, s in enumerate(self.subscriptions) if not s.closed and not s.replaying}
+        """In the stream's thread. The caller of poll_once() holds the lock meanwhile, so subscriptions don't change."""
+        while not self.permits.acquire(timeout=0.1):
+            if self.stopped:
+                return
+        live = [(i, s) for i, s in enumerate(self.subscriptions) if not s.closed and not s.replaying]
         batch = batch.persist()
         try:
             rows = []
             if live:
-                hits = F.array_compact(F.array(*(F.when(s.filter.always(), F.lit(i)) for i, s in live.items())))
+                hits = F.array_compact(F.array(*(F.when(s.filter.always(), F.lit(i)) for i, s in live)))
                 rows = batch.withColumn("__to", hits).where(F.size("__to") > 0).collect()  # at most a live batch
-                if len({bytes(r["file_id"]) for r in rows}) > 1:
-                    rows.sort(key=Key.of)
             new = batch.agg(F.max(F.struct(*KEY)).alias("k")).first()
         finally:
             batch.unpersist()
-        for r in rows:
-            key = Key.of(r)
-            for i in r["__to"]:
-                s = live[i]
-                if s.armed is not None:
-                    if key <= s.armed:
-                        continue
-                    s.armed = None
-                if s.put(r):
-                    self.delivered += 1
-        if new["k"] is not None:
-            k = Key.of(new["k"])
-            self.newest = k if self.newest is None else max(self.newest, k)
+        self.ready.put((rows, None if new["k"] is None else Key.of(new["k"]), batch_id))
