@@ -39,8 +39,9 @@ def first_per_name(entries: DataFrame) -> DataFrame:
 
 
 def first_fields(fields: str = "fields") -> Column:
-    """The same without exploding: fields whose name doesn't occur before."""
-    return F.filter(F.col(fields), lambda f, i: F.array_position(F.col(f"{fields}.name"), f["name"]) == i + 1)
+    """The same without exploding: fields whose name doesn't occur before. The names are drawn out once a row."""
+    names = F.array(F.col(f"{fields}.name"))
+    return F.transform(names, lambda n: F.filter(F.col(fields), lambda f, i: F.array_position(n, f["name"]) == i + 1))[0]
 
 
 def wide(entries: DataFrame, names: list[str]) -> DataFrame:

@@ -22,6 +22,7 @@ class JournalQuery(Filter):
         self._since: int | None = None
         self._until: int | None = None
         self._cursor: tuple[Cursor, bool] | None = None
+        self._resolved: tuple[Cursor, Key] | None = None
         self._reverse = False
         self._limit: int | None = None
 
@@ -94,6 +95,20 @@ class JournalQuery(Filter):
             raise NotFound("no entry matches the cursor")
         return Key(at.realtime_usec, at.seqnum or 0, bytes(16), 0)
 
+    def cursor_key(self) -> Key | None:
+        """The key that the cursor stands for, looked up once."""
+        if self._cursor is None:
+            return None
+        if self._resolved is None or self._resolved[0] is not self._cursor[0]:
+            self._resolved = (self._cursor[0], self.resolve(self._cursor[0]))
+        return self._resolved[1]
+
+    def span(self) -> tuple[int | None, int | None]:
+        """Least and greatest time of what can match, for sources that prune by it."""
+        key = self.cursor_key()
+        lower = [x for x in (self._since, None if key is None else key.realtime_usec) if x is not None]
+        return max(lower, default=None), self._until
+
     def bounds(self) -> Column | None:
         """Time range and cursor as one Column."""
         parts = []
@@ -102,7 +117,7 @@ class JournalQuery(Filter):
         if self._until is not None:
             parts.append(F.col("realtime_usec") <= F.lit(min(self._until, MAX_LONG)))
         if self._cursor is not None:
-            parts.append(beyond(self.resolve(self._cursor[0]), self._cursor[1]))
+            parts.append(beyond(self.cursor_key(), self._cursor[1]))
         out = None
         for p in parts:
             out = p if out is None else out & p

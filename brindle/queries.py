@@ -118,10 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "after_cursor": _at(lambda q, s: q.after_cursor(Cursor(_key(s, AT)))),
     "seek_cursor": _at(lambda q, s: q.at_cursor(Cursor(_key(s, AT)))),
     "after_cursor_reverse": _at(lambda q, s: q.after_cursor(Cursor(_key(s, AT))).reverse().limit(20)),
-    "cursor_file_offset": _at(lambda q, s: q.after_cursor(_file_offset(AT)).limit(100)),
-    "cursor_native_exact": _at(lambda q, s: q.after_cursor(_native(s, AT)).limit(100)),
-    "cursor_native_fallback": _at(lambda q, s: q.after_cursor(_native(s, AT, 1)).limit(100)),
-    "cursor_text_resume": _at(lambda q, s: q.after_cursor(Cursor.parse(str(Cursor(_key(s, AT))))).limit(10)),
+    "cursor_file_offset": _at(lambda q, s: q.after_cursor(_file_offset(AT))),
+    "cursor_native_exact": _at(lambda q, s: q.after_cursor(_native(s, AT))),
+    "cursor_native_fallback": _at(lambda q, s: q.after_cursor(_native(s, AT, 1))),
+    "cursor_text_resume": _at(lambda q, s: q.after_cursor(Cursor.parse(str(Cursor(_key(s, AT)))))),
     "head_n": _q(lambda q: q.seek_head().limit(10)),
     "tail_n": _q(lambda q: q.seek_tail().limit(10)),
     "reverse_all_limit": _q(lambda q: q.match_present("_PID").reverse().limit(500)),
@@ -196,10 +196,10 @@ ORACLE: dict[str, str] = {
     "after_cursor": _J + _CUR + _BEYOND.format(">"),
     "seek_cursor": _J + _CUR + _BEYOND.format(">="),
     "after_cursor_reverse": _J + _CUR + _BEYOND.format(">") + _DESC + " LIMIT 20",
-    "cursor_file_offset": _J + _CUR + _BEYOND.format(">") + _ORDER + " LIMIT 100",
-    "cursor_native_exact": _J + _CUR + _BEYOND.format(">") + _ORDER + " LIMIT 100",
-    "cursor_native_fallback": f"{_J}{_CUR}, p WHERE realtime_usec > rt{_ORDER} LIMIT 100",
-    "cursor_text_resume": _J + _CUR + _BEYOND.format(">") + _ORDER + " LIMIT 10",
+    "cursor_file_offset": _J + _CUR + _BEYOND.format(">"),
+    "cursor_native_exact": _J + _CUR + _BEYOND.format(">"),
+    "cursor_native_fallback": f"{_J}{_CUR}, p WHERE realtime_usec > rt",
+    "cursor_text_resume": _J + _CUR + _BEYOND.format(">"),
     "head_n": _sql("true", _ORDER + " LIMIT 10"),
     "tail_n": _sql("true", _DESC + " LIMIT 10"),
     "reverse_all_limit": _sql("user_id % 3 <> 0", _DESC + " LIMIT 500"),

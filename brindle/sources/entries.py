@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,11 +36,16 @@ class Entries:
 
 @dataclass(frozen=True)
 class FlatField:
-    """A field of an entry made from a flat table's columns: its name, its value as text or bytes, and when it is there."""
+    """A field of an entry made from a flat table's columns: its name, its value as text or bytes, and when it is there.
+
+    equals: the comparison with a text, put in the table's own columns so that it reaches the scan. It must hold for the
+    very rows whose value is that text.
+    """
 
     name: str
     value: Column
     when: Column | None = None
+    equals: Callable[[str], Column] | None = None
 
     def there(self) -> Column:
         c = self.value.isNotNull()
@@ -49,9 +56,10 @@ class FlatEntries(Entries):
     """Entries over a flat table. Terms are compiled to predicates on the table's own columns, so they reach its scan
     and no array is built for rows that don't match; the fields are put together for the rows that are left."""
 
-    def __init__(self, df: DataFrame, keys: dict[str, Column], flat: list[FlatField]) -> None:
+    def __init__(self, df: DataFrame, keys: dict[str, Column], flat: list[FlatField], between: Callable[[int | None, int | None], Column | None] | None = None) -> None:
+        """between: the inclusive time range in microseconds as a comparison of the table's own columns, or None."""
         super().__init__(df)
-        self.flat = flat
+        self.flat, self.between = flat, between
         self.key_columns = {f.name: keys.get(f.name, F.lit(None)).cast(f.dataType) for f in ENTRY if f.name != "fields"}
 
     def _keyed(self, df: DataFrame) -> DataFrame:
@@ -76,11 +84,15 @@ class FlatEntries(Entries):
     def exact(self, name: str, value: bytes) -> Column:
         def same(f: FlatField) -> Column:
             try:
-                return f.value.cast("string") == F.lit(value.decode("utf-8"))
+                text = value.decode("utf-8")
             except UnicodeDecodeError:
-                return f.value.cast("binary") == F.lit(value)
+                return f.there() & (f.value.cast("binary") == F.lit(value))
+            if f.equals is None:
+                return f.there() & (f.value.cast("string") == F.lit(text))
+            own = f.equals(text)  # first, alone: what branches share is drawn out of them and reaches the scan
+            return own if f.when is None else own & F.coalesce(f.when, F.lit(False))
 
-        return self._any([f.there() & same(f) for f in self.flat if f.name == name])
+        return self._any([same(f) for f in self.flat if f.name == name])
 
     def present(self, name: str) -> Column:
         return self._any([f.there() for f in self.flat if f.name == name])
@@ -90,11 +102,51 @@ class FlatEntries(Entries):
         terms = query.column(self.exact, self.present)
         if terms is not None:
             df = df.where(terms)
+        if self.between is not None and (span := self.between(*query.span())) is not None:
+            df = df.where(span)
         out = self._named(self._keyed(df), True)
         bounds = query.bounds()
         return out if bounds is None else out.where(bounds)
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+def timestamps(column: str) -> Callable[[int | None, int | None], Column | None]:
+    """A time range over a TIMESTAMP_NTZ column in UTC; bounds that no such column can hold are left out."""
+
+    def at(usec: int) -> Column | None:
+        try:
+            return F.expr(f"TIMESTAMP_NTZ'{(EPOCH + timedelta(microseconds=usec)).strftime('%Y-%m-%d %H:%M:%S.%f')}'") if usec >= 0 else None
+        except OverflowError:
+            return None
+
+    def between(lo: int | None, hi: int | None) -> Column | None:
+        parts = []
+        if lo is not None and (x := at(lo)) is not None:
+            parts.append(F.col(column) >= x)
+        if hi is not None and (x := at(hi)) is not None:
+            parts.append(F.col(column) <= x)
+        return reduce(lambda a, b: a & b, parts) if parts else None
+
+    return between
+
+
+def suffixed(column: str, suffix: str) -> Callable[[str], Column]:
+    """column || suffix = text."""
+    return lambda text: F.col(column) == F.lit(text[: len(text) - len(suffix)]) if text.endswith(suffix) else F.lit(False)
+
+
+def integer(column: str) -> Callable[[str], Column]:
+    """CAST(column AS STRING) = text, of a BIGINT column."""
+
+    def equals(text: str) -> Column:
+        n = int(text) if text.lstrip("-").isdecimal() and text.isascii() else None
+        return F.col(column) == F.lit(n).cast("bigint") if n is not None and str(n) == text and -(1 << 63) <= n < 1 << 63 else F.lit(False)
+
+    return equals
+
+
 def events(df: DataFrame) -> FlatEntries:
     """The driver's events table as entries."""
     rt = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
@@ -110,17 +162,20 @@ def events(df: DataFrame) -> FlatEntries:
         "xor_hash": F.col("event_id"),
         "source_path": F.concat(F.lit("file-"), (F.col("event_id") % 4).cast("string")),
     }
+    is_unit = suffixed("event_type", ".service")
+    error = F.col("event_type") == "error"
+    urgent = {"3": error, "6": F.coalesce(~error, F.lit(True))}
     flat = [
-        FlatField("_SYSTEMD_UNIT", unit, part < 3),
-        FlatField("UNIT", unit, part == 3),
-        FlatField("OBJECT_SYSTEMD_UNIT", unit, part == 4),
-        FlatField("MESSAGE", F.col("props")),
-        FlatField("PRIORITY", F.when(F.col("event_type") == "error", "3").otherwise("6")),
-        FlatField("_UID", F.col("user_id").cast("string")),
-        FlatField("_PID", F.col("event_id").cast("string"), F.col("user_id") % 3 != 0),
-        FlatField("MESSAGE", F.lit("dup"), F.col("event_id") % 11 == 0),
+        FlatField("_SYSTEMD_UNIT", unit, part < 3, is_unit),
+        FlatField("UNIT", unit, part == 3, is_unit),
+        FlatField("OBJECT_SYSTEMD_UNIT", unit, part == 4, is_unit),
+        FlatField("MESSAGE", F.col("props"), None, lambda text: F.col("props") == F.lit(text)),
+        FlatField("PRIORITY", F.when(error, "3").otherwise("6"), None, lambda text: urgent.get(text, F.lit(False))),
+        FlatField("_UID", F.col("user_id").cast("string"), None, integer("user_id")),
+        FlatField("_PID", F.col("event_id").cast("string"), F.col("user_id") % 3 != 0, integer("event_id")),
+        FlatField("MESSAGE", F.lit("dup"), F.col("event_id") % 11 == 0, lambda text: F.lit(text == "dup")),
     ]
-    return FlatEntries(df, keys, flat)
+    return FlatEntries(df, keys, flat, timestamps("ts"))
 
 
 def file_ranges(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,12 @@ import hmac
 import lzma
 import os
 import struct
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
 
 from brindle.functions.hashes import jenkins64, siphash24
 from brindle.sources.format import COMPACT, DATA, DATA_HASH, ENTRY, ENTRY_ARRAY, KEYED, LZ4, SEALED, SIGNATURE, TAG, XZ, ZSTD
@@ -63,14 +69,21 @@ def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries:
 
     table = put(DATA_HASH, b"\0" * 16 * buckets) + 16
     width, code = (4, "I") if compact else (8, "Q")
-    slots, array, n_slots = [], 0, first_array  # place of each slot
-    while len(slots) < max(1, len(rows)):
-        at = put(ENTRY_ARRAY, b"\0" * 8 + b"\0" * width * n_slots)
-        if slots:
+    slots: list[int] = []  # place of each slot
+    last = 0
+
+    def grow() -> int:
+        """One more entry array, twice as long as the one before; it is linked from that."""
+        nonlocal last
+        n = max(first_array, len(slots) + first_array)
+        at = put(ENTRY_ARRAY, b"\0" * 8 + b"\0" * width * n)
+        if last:
             struct.pack_into("<Q", out, last + 16, at)
-        array, last = array or at, at
-        slots += [at + 24 + width * i for i in range(n_slots)]
-        n_slots *= 2
+        slots.extend(at + 24 + width * i for i in range(n))
+        last = at
+        return at
+
+    array = grow()
     tags: list[tuple[int, int]] = []
 
     def tag(epoch: int) -> None:
@@ -101,6 +114,8 @@ def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries:
                 struct.pack_into("<QQ", out, slot, first or at, at)
             at, h = data[p]
             items += struct.pack("<I", at) if compact else struct.pack("<QQ", at, h)
+        if i == len(slots):
+            grow()
         rt = BASE + seed * 10_000 + i * step
         body = struct.pack("<QQQ16sQ", *((i + 1, rt, rt - 123, ident(seed + 34), 0) if heads is None else heads[i])) + items
         if len(body) % 8:
@@ -135,6 +150,41 @@ def write(path: str, units: list[str] | None = None, seed: int = 7, *, entries:
     os.replace(new, path)
 
 
+#: How the files of write_entries() differ: one layout for each, in turn.
+LAYOUTS: tuple[dict, ...] = ({}, {"compact": True, "keyed": True, "compression": "zstd"}, {"compression": "lz4", "state": 2}, {"compact": True, "compression": "xz", "state": 0})
+
+
+def write_entries(entries: DataFrame, root: str, layouts: tuple[dict, ...] = LAYOUTS) -> None:
+    """One journal file for each file id of entry rows, file-<low byte of the id>.journal, written by the tasks. Rows of a
+    file are in the order of the key; a task holds one file's rows, as a journal file holds no more than its size allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        held: list[dict] = []
+
+        def flush() -> pa.RecordBatch:
+            no = held[0]["file_id"][-1]
+            heads = [(r["seqnum"], r["realtime_usec"], r["monotonic_usec"], r["boot_id"], r["xor_hash"] or 0) for r in held]
+            fields = [[(f["name"], f["value"]) for f in r["fields"]] for r in held]
+            ids = (held[0]["file_id"], held[0]["machine_id"] or bytes(16), held[0]["seqnum_id"] or bytes(16))
+            path = f"{root}/file-{no}.journal"
+            write(path, entries=fields, heads=heads, ids=ids, buckets=max(4, len(held)), **layouts[no % len(layouts)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                if held and held[-1]["file_id"] != r["file_id"]:
+                    yield flush()
+                held.append(r)
+        if held:
+            yield flush()
+
+    os.makedirs(root, exist_ok=True)
+    entries.repartition("file_id").sortWithinPartitions("file_id", "realtime_usec", "seqnum").mapInArrow(run, "path string").collect()
+
+
 def _seal(out: bytearray, objects: list[tuple[int, int]], tags: list[tuple[int, int]], generator, compact: bool) -> None:
     """The tags' digests, over what lies between them."""
     from brindle.operators.seal import HEADER_RANGES
