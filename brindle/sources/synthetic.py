@@ -156,7 +156,8 @@ LAYOUTS: tuple[dict, ...] = ({}, {"compact": True, "keyed": True, "compression":
 
 def write_entries(entries: DataFrame, root: str, layouts: tuple[dict, ...] = LAYOUTS) -> None:
     """One journal file for each file id of entry rows, file-<low byte of the id>.journal, written by the tasks. Rows of a
-    file are in the order of the key; a task holds one file's rows, as a journal file holds no more than its size allows."""
+    file are in the order of the key; more rows at the end leave what comes before in place, as an append does. A task holds
+    one file's rows, as a journal file holds no more than its size allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -169,7 +170,7 @@ def write_entries(entries: DataFrame, root: str, layouts: tuple[dict, ...] = LAY
             fields = [[(f["name"], f["value"]) for f in r["fields"]] for r in held]
             ids = (held[0]["file_id"], held[0]["machine_id"] or bytes(16), held[0]["seqnum_id"] or bytes(16))
             path = f"{root}/file-{no}.journal"
-            write(path, entries=fields, heads=heads, ids=ids, buckets=max(4, len(held)), **layouts[no % len(layouts)])
+            write(path, entries=fields, heads=heads, ids=ids, buckets=4096, **layouts[no % len(layouts)])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 

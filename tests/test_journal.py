@@ -6,9 +6,10 @@ import pytest
 
 from brindle.operators.journal import Journal
 from brindle.operators.query import JournalQuery
-from brindle.operators.seal import Fsprg
+from brindle.operators.seal import Fsprg, VerificationKey
 from brindle.plans.cursor import Cursor
-from brindle.plans.model import ENTRY, Corrupt, InvalidQuery, JournalError, Key, Limits, NotFound
+from brindle.plans.model import ENTRY, Corrupt, InvalidQuery, JournalError, Key, LimitExceeded, Limits, NotFound, Unsupported
+from brindle.sources import discovery
 from brindle.sources import synthetic as syn
 from brindle.sources.entries import Entries
 from brindle.sources.format import JournalFile
@@ -88,6 +89,96 @@ def test_seal(spark, tmp_path):
         j.verify_seal(seed.hex() + "/1-1")
 
 
+@pytest.mark.parametrize("text", ["", "00", "0" * 24, "0" * 24 + "/1", "0" * 23 + "g/1-1", "0" * 24 + "/1-0", "0" * 24 + "/ffffffffffffffff-2", "0" * 24 + "/1-x"])
+def test_broken_keys(text):
+    with pytest.raises(InvalidQuery):
+        VerificationKey.parse(text)
+
+
+def test_key():
+    k = VerificationKey.parse(" 000102-030405-060708-090a0B/2-10 ")
+    assert (k.seed, k.start_usec, k.interval_usec) == (bytes(range(12)), 32, 16)
+
+
+@pytest.mark.parametrize("first_array", [1, 3, 64])
+def test_slots_and_seek(tmp_path, first_array):
+    """Any slot of a chain of arrays is reached, and binary search finds what a scan finds."""
+    p = f"{tmp_path}/a.journal"
+    for n in (0, 1, 5, 40):
+        syn.write(p, ["alpha"] * n, first_array=first_array)
+        with JournalFile(p) as f, JournalFile(p, Limits(seek_realtime=False)) as scan:
+            every = list(f.entry_offsets())
+            assert len(every) == n and f.last_entry() == (every[-1] if n else None)
+            for i in range(n + 1):
+                assert list(f.entry_offsets(i)) == every[i:] and list(f.entry_offsets(i, i + 3)) == every[i : i + 3]
+            for t in range(syn.BASE + 69_990, syn.BASE + 70_000 + n * 100 + 50, 50):
+                assert list(f.entries(since=t)) == list(scan.entries(since=t)) and list(f.entries(until=t)) == list(scan.entries(until=t))
+
+
+def test_index_look_ups(tmp_path):
+    """Each branch is looked up for itself; a broken table or a branch without terms means a scan."""
+    p = f"{tmp_path}/a.journal"
+    syn.write(p, ["alpha", "beta", "alpha", "gamma"])
+    with JournalFile(p) as f:
+        e = list(f.entry_offsets())
+        assert f.branches([[b"UNIT=alpha"], [b"UNIT=gamma", b"PRIORITY=4"]]).tolist() == [e[0], e[2], e[3]]
+        assert f.branches([[b"UNIT=alpha", b"PRIORITY=3"], [b"UNIT=none"]]).tolist() == [e[2]]
+        assert f.branches([[b"UNIT=alpha"], []]) is None
+    raw = bytearray(open(p, "rb").read())
+    raw[288:320] = b"\x01" * 32
+    open(p, "wb").write(raw)
+    with JournalFile(p) as f:
+        assert f.branches([[b"UNIT=alpha"]]) is None
+
+
+def test_pruned_files_may_be_gone(spark, tmp_path):
+    syn.write(f"{tmp_path}/synthetic.journal", ["old"])
+    syn.write(f"{tmp_path}/recent.journal", ["recent"], 9)
+    j = Journal.open_dir(spark, str(tmp_path), Limits(max_open_files=1, mmap_policy="never"))
+    old = Cursor.of(j.query().match_unit("old").collect()[0])
+    (tmp_path / "synthetic.journal").unlink()
+    assert where(j.query().since_realtime(syn.BASE + 90_000).collect()) == [(9, 0)]
+    assert where(j.query().after_cursor(old).collect()) == [(9, 0)]
+
+
+def test_low_memory_merge_and_resume(spark, tmp_path):
+    syn.write(f"{tmp_path}/synthetic.journal", ["alpha"])
+    syn.write(f"{tmp_path}/later.journal", ["beta", "alpha"], 9)
+    j = Journal.open_dir(spark, str(tmp_path), Limits(max_open_files=1, mmap_policy="never"))
+    rows = j.query().match_unit("alpha").collect()
+    assert where(rows) == [(7, 0), (9, 1)]
+    first = Cursor.parse(str(Cursor.of(rows[0])))
+    assert where(j.query().match_unit("alpha").after_cursor(first).collect()) == [(9, 1)]
+    assert where(j.query().match_unit("alpha").reverse().collect()) == [(9, 1), (7, 0)]
+
+
+def test_headers(tmp_path):
+    p = tmp_path / "a.journal"
+    p.write_bytes(b"x" * 100)
+    with pytest.raises(Corrupt):
+        JournalFile(str(p))
+    p.write_bytes(b"x" * 300)
+    with pytest.raises(Unsupported):
+        JournalFile(str(p))
+    syn.write(str(p), ["alpha"], state=2)
+    with JournalFile(str(p)) as f, JournalFile(str(p), Limits(mmap_policy="never")) as g:
+        assert f.map is not None and g.map is None and list(f.entries()) == list(g.entries())
+    with pytest.raises(InvalidQuery):
+        Limits(mmap_policy="x").check()
+
+
+def test_roots(tmp_path, monkeypatch):
+    monkeypatch.setattr(discovery.sys, "platform", "plan9")
+    with pytest.raises(Unsupported):
+        discovery.default_roots()
+    monkeypatch.setattr(discovery.sys, "platform", "linux")
+    assert discovery.default_roots() == ["/run/log/journal", "/var/log/journal"]
+    for i in range(3):
+        syn.write(f"{tmp_path}/{i}.journal", ["alpha"], i)
+    with pytest.raises(LimitExceeded):
+        discovery.list_files([str(tmp_path)], Limits(max_journal_files=2))
+
+
 def test_builder_against_python(spark):
     rnd = random.Random(11)
     rows = []

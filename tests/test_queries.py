@@ -5,9 +5,10 @@ import re
 import duckdb
 import pytest
 
-from brindle.queries import ORACLE, QUERIES
+from brindle import file_queries, queries
 
 DIR = "/root/testdata/sf0.001"
+QUERIES, ORACLE = queries.QUERIES | file_queries.QUERIES, queries.ORACLE | file_queries.ORACLE
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
