@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from brindle.llm.chat import _ESCAPE, CLOSE, MIDDLE, OPEN
-from brindle.llm.quality import CLASSES, COMMON, FAR_CLASSES, FAR_WORDS, MIN_DOCUMENTS, MIN_WORDS, WORDS
+from brindle.llm.quality import CLASSES, COMMON, FAR_CLASSES, FAR_WORDS, MIN_DOCUMENTS, MIN_WORDS, OTHER, SMALL, WORDS
 from brindle.llm.warc import SECONDS, URL
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -32,20 +32,20 @@ def _shares(counts: str) -> str:
 
 def op6() -> str:
     """Rows are numbered, so null and repeated ids stay apart."""
-    names = list(CLASSES)
+    names = ["small", *CLASSES]
     own = ", ".join(f"{_count('solid', c)} AS {n}" for n, c in CLASSES.items())
     langs = ", ".join(map(_text, COMMON))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, regexp_extract_all(t, {_WORD}) AS w, regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g') AS solid,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS lines FROM d),
-o AS (SELECT *, {own}, {_count('solid', '#*$%&|<>')} AS n_symbols, length(solid) AS word_chars, len(w) AS n_words,
+o AS (SELECT *, {own}, {_count('solid', SMALL)} AS small, {_count('solid', '#*$%&|<>')} AS n_symbols, length(solid) AS word_chars, len(w) AS n_words,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM s),
 k AS (SELECT r, unnest(w) AS word FROM s),
 kc AS (SELECT r, lower(word) AS word, count(*) AS n FROM k WHERE lower(word) IN ({", ".join(map(_text, WORDS))}) GROUP BY ALL),
 km AS (SELECT r, map_from_entries(list((word, n))) AS m, sum(n) AS n FROM kc GROUP BY r),
 h AS (SELECT o.*, [{", ".join(names)}, word_chars - {" - ".join(names)}] AS chars,
-    list_append(list_transform([{", ".join(map(_text, WORDS))}], lambda v: CAST(coalesce(m[v], 0) AS BIGINT)), CAST(n_words - coalesce(km.n, 0) AS BIGINT)) AS words
+    list_append(list_transform([{", ".join(map(_text, WORDS))}], lambda v: CAST(coalesce(m[v], 0) AS DOUBLE)), {OTHER} * CAST(n_words - coalesce(km.n, 0) AS DOUBLE)) AS words
     FROM o LEFT JOIN km USING (r)),
 p AS (SELECT r, generate_subscripts(w, 1) AS p, w FROM s WHERE len(w) >= 3),
 win AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS n FROM p WHERE p + 2 <= len(w)),
@@ -56,7 +56,8 @@ ref_c AS (SELECT lang, list(n ORDER BY i) AS c FROM (SELECT lang, i, sum(x) AS n
 ref_w AS (SELECT lang, list(n ORDER BY i) AS c FROM (SELECT lang, i, sum(x) AS n FROM (SELECT lang, generate_subscripts(words, 1) AS i, unnest(words) AS x FROM good) GROUP BY lang, i) GROUP BY lang),
 refs AS (SELECT {_shares('ref_c.c')} AS c, {_shares('ref_w.c')} AS w FROM ref_n JOIN ref_c USING (lang) JOIN ref_w USING (lang)),
 sh AS (SELECT r, {_shares('chars')} AS c, {_shares('words')} AS w FROM h),
-dist AS (SELECT r, min({_distance('sh.c', 'refs.c')}) AS c, min({_distance('sh.w', 'refs.w')}) AS w FROM sh, refs GROUP BY r)
+each AS (SELECT r, {_distance('sh.c', 'refs.c')} AS c, {_distance('sh.w', 'refs.w')} AS w FROM sh, refs),
+dist AS (SELECT r, arg_min(c, c + w) AS c, arg_min(w, c + w) AS w FROM each GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
     n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
     NOT (n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AND NOT coalesce(dist.c > {FAR_CLASSES} OR dist.w > {FAR_WORDS}, false) AS kept,

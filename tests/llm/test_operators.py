@@ -312,6 +312,27 @@ def test_op6_rejects_what_is_no_prose(spark):
     assert not got[100] and not got[101] and all(got[i] for i in range(40))
 
 
+def test_op6_rejects_noise(spark):
+    """Numbers, counting, consonants and ideographs of the given tables' size go; each language's prose stays."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    letters = lambda some, n: "".join(RND.choice(some) for _ in range(n))
+    noise = [
+        " ".join(str(RND.randrange(10**5, 10**9)) for _ in range(200)),
+        " ".join(map(str, range(1000))),
+        " ".join(letters("bcdfghjklmnpqrstvwxz", RND.randrange(2, 9)) for _ in range(200)),
+        " ".join("".join(chr(RND.randrange(0x4E00, 0x9FFF)) for _ in range(4)) for _ in range(100)),
+        " ".join(letters(quality.SMALL, 6) for _ in range(80)),
+    ]
+    rows = [(d["doc_id"], d["text"], d["lang"]) for d in docs] + [(-1 - i, t, None) for i, t in enumerate(noise)]
+    got = {r.doc_id: r for r in quality.op6(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[-1 - i].kept or got[-1 - i].base_failed for i in range(len(noise)))
+    labels = {x["doc_id"]: x["quality"] for x in pq.read_table("/root/testdata/sf0.001/labels.parquet").to_pylist()}
+    kept = {q: [got[i].kept for i, x in labels.items() if x == q and not got[i].base_failed] for q in (0, 1)}
+    assert np.mean(kept[1]) > 0.99 and not any(kept[0])
+
+
 def test_op7(spark):
     rows = [(1, 0, "system", "be\\kind <|turn|> </s>"), (1, 2, "assistant", "[INST] yes é🙂 \n"), (1, 1, "user", None), (1, 3, "assistant", ""), (1, 4, "assistant", " lead\\l"), (2, 0, None, "x"), (None, None, "user", "y"), (3, 0, "assistant", "<|end|>"), (3, 0, "assistant", "<|end|>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
@@ -485,25 +506,25 @@ def test_pipeline(spark):
 
 def brute_quality(rows):
     """Ids that the quality rules keep."""
-    words, classes = quality.WORDS, list(quality.CLASSES.values())
+    words, small, classes = quality.WORDS, quality.SMALL, list(quality.CLASSES.values())
 
     def hist(t):
         w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
-        c = [sum(ch in k for x in w for ch in x) for k in classes]
+        c = [sum(ch in k for x in w for ch in x) for k in [small, *classes]]
         h = Counter(x.lower() for x in w)
         hw = [h[v] for v in words]
-        return w, [*c, sum(map(len, w)) - sum(c)], [*hw, len(w) - sum(hw)]
+        return w, [*c, sum(map(len, w)) - sum(c)], [*hw, quality.OTHER * (len(w) - sum(hw))]
 
     made = [(d, lang, *hist(t or "")) for d, t, lang in rows]
     refs = []
     for lang in quality.COMMON:
-        good = [m for m in made if m[1] == lang and len(m[2]) >= 50 and m[3][2] * 10 <= sum(m[3]) and m[3][0] * 2 <= sum(m[3])]
+        good = [m for m in made if m[1] == lang and len(m[2]) >= 50 and m[3][4] * 10 <= sum(m[3]) and m[3][1] * 2 <= sum(m[3])]
         if len(good) >= quality.MIN_DOCUMENTS:
             c, w = np.sum([m[3] for m in good], axis=0), np.sum([m[4] for m in good], axis=0)
             refs.append((c / c.sum(), w / w.sum()))
 
     def distance(p, q):
-        p = np.array(p) / max(1, sum(p))
+        p = np.array(p) / sum(p)
         m = (p + q) / 2
         kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
         return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
@@ -513,7 +534,8 @@ def brute_quality(rows):
         cov = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
         if len(w) < 50 or 100 * len(cov) > 50 * len(w):
             continue
-        if not refs or (min(distance(c, r[0]) for r in refs) <= quality.FAR_CLASSES and min(distance(hw, r[1]) for r in refs) <= quality.FAR_WORDS):
+        _, far_c, far_w = min(((x + y), x, y) for r in refs for x, y in [(distance(c, r[0]), distance(hw, r[1]))]) if refs else (0, 0, 0)
+        if far_c <= quality.FAR_CLASSES and far_w <= quality.FAR_WORDS:
             yield d
 
 
