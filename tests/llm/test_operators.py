@@ -359,7 +359,7 @@ def test_op8(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.op8(df).collect()}
     want = "Title & more\nOne\nTwo bold.\na\nb\nLast."
     assert got[1] == (want, len(want)) and got[2] == got[3] == ("", 0) and got[4][0] == "plain text"
-    w = html_text.fit([(page, want)])
+    w = html_text.fit([(page, want)], rounds=200)
     assert html_text.main_text(page, w) == want and w["word_article"] > 0 > w["tag"]
     assert html_text.op8(df.limit(0)).collect() == []
     again = html_text.op8(spark.createDataFrame([(1, "u", page, "clash")] * 2, "page_id long, url string, html string, text string")).collect()
