@@ -248,7 +248,53 @@ def test_op3(spark):
     bench = spark.createDataFrame([(7, item), (8, None), (None, other)], "item_id long, text string")
     assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.op3(docs, bench).collect()) == [("1", 7), ("2", 7), ("None", 7)]
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 5, 6]
-    assert decontaminate.op3(docs, bench.limit(0)).collect() == []
+    assert decontaminate.op3(docs, bench.limit(0)).collect() == [] == decontaminate.op3(docs.limit(0), bench).collect()
+
+
+def op3_case(rnd):
+    """Items of all sorts, and documents that hold them as they are, with other slots, with words put in or left out."""
+    names, lit = ["Tom", "Anna", "Mike", "Sara", "Paris", "Rome"], [f"l{c}" for c in "abcdefghijkmnopqrs"]
+    word = lambda: rnd.choice([*lit, *lit, rnd.choice(names), str(rnd.randrange(90)), "km"])
+    said = lambda n: " ".join(w.capitalize() if rnd.random() < 0.15 else w + "." * (rnd.random() < 0.12) for w in (word() for _ in range(n)))
+    items = [(i, said(rnd.choice([2, 4, 5, 7, 8, 12, 25, 40]))) for i in range(25)] + [(30, "12 + 7 = 19 and"), (31, "1 2 3 4 5 6 7 8 9 10"), (32, None), (33, ""), (None, said(20))]
+
+    def changed(t):
+        to = {}
+        out = []
+        for w in (t or "").split():
+            if rnd.random() < 0.03:
+                out.append("extra")
+            if rnd.random() < 0.03:
+                continue
+            b = w.strip(".")
+            if b.isdigit() or b in names:
+                w = w.replace(b, to.setdefault(b, str(rnd.randrange(900)) if b.isdigit() else rnd.choice(names)) if rnd.random() < 0.9 else b)
+            out.append(w)
+        return " ".join(out)
+
+    docs = [(i, " ".join([said(rnd.randrange(30)), rnd.choice([lambda t: t or "", changed])(rnd.choice(items)[1]), said(rnd.randrange(30))])) for i in range(120)]
+    return items, [*docs, (200, None), (201, ""), (None, docs[0][1]), (3, docs[3][1]), (202, " ".join(t or "" for _, t in items) * 3)]
+
+
+@pytest.mark.parametrize(("sent", "met"), [(10**6, 10**5), (10**6, 0), (0, 0)])
+def test_op3_against_brute_force(spark, sent, met):
+    """Whether hashes and items are sent to the tasks or everything is shuffled."""
+    items, rows = op3_case(random.Random(8))
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, h string, n int").repartition(3)
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.windows) for r in decontaminate.matches(docs, bench, ["doc_id"], sent=sent, met=met).collect()}
+    want = {(d, i): v for d, t in rows for i, v in brute_matches(t, items).items()}
+    assert got == want and len(want) > 60
+
+
+def test_op3_cases(spark):
+    other = " ".join(RND.choices(WORDS, k=60))
+    a = "Sara has 7 apples in her basket and Tom buys 12 more of them at the market before they walk home together again"
+    items = [(1, a), (2, "Tom runs 5 km every single day. Anna walks 3 km less than he does."), (3, "What is the capital city?"), (4, "3 5 7 9 11 13 17 19 23 29")]
+    docs = [(1, a.replace("the market", "the old market")), (2, "Mike runs 6 km every single day. Lena walks 4 km less than he does."), (3, "They ask: what is the capital city? None knows"), (4, "1 2 3 5 7 9 11 13 17 19 23 29 31"), (5, "4 6 8 10 12 14 18 20 24 30"), (6, other)]
+    df = spark.createDataFrame([(i, f"{other} {t} {other}") for i, t in docs], "doc_id long, text string")
+    got = decontaminate.op3(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
 
 
 ODD = ["", "don't we'll'sx ''s 's", "a  b\n\n c \t x", "<|endoftext|> a<|endoftext|>", "x²³ ½ Ⅷ", "\x1c\x1d a", "_a__b 1_2", "   lead", "tail   ", "a b c", "\U0001f642\U0001f642 ok" * 30, "x" * 3000 + "\n" * 70, "▁x"]
@@ -593,35 +639,70 @@ def brute_quality(rows):
             yield d
 
 
+def brute_tokens(text):
+    """[(folded word, template token, the same with sentence-initial names)] of a text, by the rules as written."""
+    out, starts = [], True
+    for w in (text or "").split():
+        inner = re.sub(r"^\W+|\W+$", "", w)
+        folded = inner.casefold()
+        if folded:
+            if re.search(r"\d", folded):
+                t = n = "<NUM>"
+            elif folded in decontaminate.UNITS:
+                t = n = "<UNIT>"
+            else:
+                name = inner[0].isupper() and not (w.isupper() and len(folded) > 1)
+                n = "<NAME>" if name else folded
+                t = folded if starts else n
+            out.append((folded, t, n))
+        starts = w[-1] in ".!?:;\"')»”" and w.rstrip("\"')»”")[-1:] in (".", "!", "?", ":", ";", "")
+    return out
+
+
+def brute_windows(tokens, size, form):
+    slots = ("<NUM>", "<UNIT>", "<NAME>")
+    for i in range(len(tokens) - size + 1):
+        w = tokens[i : i + size]
+        if form == 0 or sum(x[form] not in slots for x in w) >= min(decontaminate.LITERALS, size - 1):
+            yield i, tuple(x[form] for x in w), tuple(x[0] if form and x[form] in slots else "" for x in w)
+
+
+def brute_matches(text, items):
+    """item -> (windows held, windows) of the best diagonal or run of near diagonals without a clash of slots."""
+    best, doc = {}, brute_tokens(text)
+    for item, body in items:
+        own = brute_tokens(body)
+        size = min(decontaminate.WINDOW, len(own))
+        if item is None or size < decontaminate.SHORTEST:
+            continue
+        mine = [(f, *w) for f in (1, 2) for w in brute_windows(own, size, f)] or [(0, *w) for w in brute_windows(own, size, 0)]
+        total = len({j for _, j, _, _ in mine})
+        met = []
+        for f in {f for f, *_ in mine}:
+            where = {}
+            for i, h, s in brute_windows(doc, size, f):
+                where.setdefault(h, []).append((i, s))
+            met += [(i - j, j, bs, s) for g, j, h, bs in mine if g == f for i, s in where.get(h, [])]
+        diags = sorted({d for d, *_ in met})
+        copy = {}
+        for a, b in zip([None, *diags], diags):
+            copy[b] = copy[a] + (b - a > decontaminate.GAP) if a is not None else 0
+        for key in (lambda d: ("d", d), lambda d: ("c", copy[d])):
+            groups = {}
+            for d, j, bs, s in met:
+                js, to = groups.setdefault(key(d), (set(), {}))
+                js.add(j)
+                for x, y in zip(bs, s):
+                    if x:
+                        to.setdefault(x, set()).add(y)
+            for js, to in groups.values():
+                if all(len(v) == 1 for v in to.values()):
+                    best[item] = max(best.get(item, (0, total)), (len(js), total))
+    return best
+
+
 def brute_contaminated(text, items):
-    """Whether text holds half of an item's template windows along one diagonal, no slot value with two counterparts."""
-    size, slots = decontaminate.WINDOW, (decontaminate.NUM, decontaminate.NAME, decontaminate.UNIT)
-    bare = lambda w: re.sub(r"^\W+|\W+$", "", w).casefold()
-
-    def made(t):
-        tokens, words, _ = decontaminate.template(t or "", decontaminate.Template())
-        ok = [i for i in range(len(tokens) - size + 1) if sum(x in slots for x in tokens[i : i + size]) <= size - decontaminate.LITERALS]
-        return [int(x) for x in tokens], [bare(w) if x in slots else "" for w, x in zip(words, tokens)], ok
-
-    dt, dw, d_ok = made(text)
-    where = {}
-    for i in d_ok:
-        where.setdefault(tuple(dt[i : i + size]), []).append(i)
-    for item in items:
-        bt, bw, b_ok = made(item)
-        found = {}
-        for j in b_ok:
-            for i in where.get(tuple(bt[j : j + size]), []):
-                found.setdefault(i - j, []).append(j)
-        for diag, js in found.items():
-            to = {}
-            for j in js:
-                for k in range(j, j + size):
-                    if bw[k]:
-                        to.setdefault(bw[k], set()).add(dw[k + diag])
-            if len(js) >= decontaminate.SHARE * len(b_ok) and all(len(v) == 1 for v in to.values()):
-                return True
-    return False
+    return any(a >= decontaminate.SHARE * n for a, n in brute_matches(text, list(enumerate(items))).values())
 
 
 def brute_redacted(rows):
