@@ -79,6 +79,67 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+#: Characters from which a text is dealt in chunks.
+CHUNK = 1 << 15
+
+
+def by_chunks(
+    docs: DataFrame,
+    keep: list[str],
+    text_col: str,
+    ddl: str,
+    whole: Callable[[list[str]], list],
+    split: Callable[[str, int], list[str]],
+    part: Callable[[list[str]], list[bytes]],
+    joined: Callable[[list[bytes]], tuple],
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """keep and the columns of ddl for every row. Texts of up to `chunk` characters go to whole(), many at once. A longer one
+    is split where the machine's state is known; its chunks are rows that any task may take, part() gives what each does
+    to that state, and joined() combines these in order. One long text is so the work of many tasks.
+
+    Long rows are kept in the shared folder meanwhile, numbered, so that chunks find their row again.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*keep, text.alias("__text"))
+    kept = rows.select(*keep).schema
+    schema = StructType([*kept.fields, *StructType.fromDDL(ddl).fields])
+    names = [f.name for f in schema.fields]
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *whole(some.column("__text").to_pylist())], names)
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for no, t in zip(b.column("__no"), b.column("__text")):
+                parts = split(t.as_py(), chunk)
+                yield pa.RecordBatch.from_arrays([pa.array([no.as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["__no", "__at", "__part"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                some = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([some.column("__no"), some.column("__at"), pa.array(part(some.column("__part").to_pylist()), pa.binary())], ["__no", "__at", "__did"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            for i in range(b.num_rows):
+                got = joined([x["__did"] for x in b.column("__all")[i].as_py()])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1).cast(f.type) for c, f in zip(keep, arrow)), *(pa.array([v], f.type) for v, f in zip(got, list(arrow)[len(keep) :]))], names)
+
+    size = F.length("__text")
+    long = cut(rows.where(size > chunk).withColumn("__no", F.monotonically_increasing_id()))
+    dealt = long.select("__no", "__text").mapInArrow(cuts, "__no long, __at int, __part string").repartition("__no", "__at")
+    did = dealt.mapInArrow(each, "__no long, __at int, __did binary").groupBy("__no").agg(F.sort_array(F.collect_list(F.struct("__at", "__did"))).alias("__all"))
+    return rows.where(size <= chunk).mapInArrow(short, schema).union(long.drop("__text").join(did, "__no").drop("__no").mapInArrow(combine, schema))
+
+
 def map_texts(df: DataFrame, fn: Callable[[list], dict[str, pa.Array | list]], schema: str, keep: list[str], rows: int = 512) -> DataFrame:
     """One row out for each row in. fn gets at most `rows` texts and returns the new columns; kept columns pass through."""
     from pyspark.sql.pandas.types import to_arrow_schema

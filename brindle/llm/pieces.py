@@ -6,7 +6,9 @@ weighs 0 if the pair is stable, else minus infinity, and exactly one path weighs
 instead: the sum's best path is a unigram model's result and not this model's.
 
 Words start where a blank follows a non-blank. No piece holds a blank behind another character, so every path passes
-there: the transfer matrix of a word is one by one, and words are solved once and kept in a bounded table. A word
+there: the transfer matrix of a word is one by one, and words are solved once and kept in a bounded table. Long documents
+are split there into chunks, which are rows that any task may take; their matrices are one by one too, so that combining
+them is putting their paths one after the other. A word
 longer than LONG (a text without blanks) is split into chunks at any position. The states at a boundary are the
 pieces that end at it or span it. Each chunk gives a matrix from left to right states; matrices are combined
 associatively, then every chunk traces its own path back between its two states.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held, with_fields
+from brindle.llm.common import CHUNK, by_chunks, held, with_fields
 from brindle.llm.merging import Merging
 
 BLANK = "▁"
@@ -34,6 +36,8 @@ LONG = 512
 WORDS = 900_000
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
+_START = re.compile(f"(?<=[^{BLANK}]){BLANK}")
+
 State = tuple[int, int]  # start and end of the piece that spans a boundary
 
 
@@ -144,14 +148,36 @@ class PieceModel:
             ids += [i] if i is not None else [self.byte[b] for b in p.encode("utf-8")]
         return tuple(ids)
 
+    @staticmethod
+    def normal(text: str) -> str:
+        """The text as the model reads it."""
+        return BLANK + text.replace(" ", BLANK) if text else ""
+
+    def spelled(self, s: str) -> list[int]:
+        """Ids of a normal text that starts at a word."""
+        return list(chain.from_iterable(map(self.words.__getitem__, _WORD.findall(s))))
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.words.__getitem__, _WORD.findall(BLANK + text.replace(" ", BLANK)))))
+        return self.spelled(self.normal(text))
+
+    @staticmethod
+    def split_text(text: str, size: int) -> list[str]:
+        """The normal text in chunks of at least size characters, but for the last, each from a word's start: the transfer
+        matrix of such a chunk is one by one, and the chunk's path is traced back without its neighbours."""
+        s, out, at = PieceModel.normal(text), [], 0
+        while at < len(s):
+            m = _START.search(s, at + size) if at + size < len(s) else None
+            end = m.start() if m else len(s)
+            out.append(s[at:end])
+            at = end
+        return out
+
+    def raw(self, ids: list[int]) -> str:
+        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         """The text; a leading blank is the model's own and goes. U+2581 comes back as a blank, as the library has it."""
-        s = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
+        s = self.raw(ids)
         return s[1:] if s.startswith(" ") else s
 
 
@@ -175,32 +201,19 @@ def model(path: str) -> PieceModel:
     return held(("pieces", path), lambda: PieceModel(path))
 
 
-def _map(docs: DataFrame, keep: list[str], text_col: str, ddl: str, fn) -> DataFrame:
-    """keep (the text itself may be among them) and what fn makes of each text."""
-    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    schema = with_fields(rows.select(*keep), ddl)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                new = fn(b.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [f.name for f in schema.fields])
-
-    return rows.mapInArrow(run, schema)
-
-
-def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, ids array<int>. A null or empty text has no ids. A column ids among keep is replaced."""
+def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """keep (the text itself may be among them), ids array<int>. A null or empty text has no ids; repeated rows and null ids
+    are encoded each for itself; an empty table gives no row. A column ids among keep is replaced."""
     keep = [c for c in keep if c != "ids"]
 
-    def ids(texts: list[str]) -> list[pa.Array]:
-        m = model(path)
-        got = [m.encode(t) for t in texts]
+    def lists(got: list[list[int]]) -> list[pa.Array]:
         off = np.cumsum([0, *map(len, got)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(off), pa.array(np.fromiter(chain.from_iterable(got), np.int32, off[-1])))]
 
-    return _map(docs, keep, text_col, "ids array<int>", ids)
+    def part(chunks: list[str]) -> list[bytes]:
+        return [np.array(model(path).spelled(x), np.int32).tobytes() for x in chunks]
+
+    return by_chunks(docs, keep, text_col, "ids array<int>", lambda texts: lists([model(path).encode(t) for t in texts]), PieceModel.split_text, part, lambda parts: (np.frombuffer(b"".join(parts), np.int32),), chunk)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
@@ -215,17 +228,28 @@ def decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, with_fields(rows.select(*keep), "text string"))
 
 
-def digests(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """keep, n_ids, ids_sha256 (of the ids as little-endian int32), round_trip: whether decoding gives the text back."""
 
-    def one(texts: list[str]) -> list[pa.Array]:
+    def whole(texts: list[str]) -> list[pa.Array]:
         m = model(path)
         got = [m.encode(t) for t in texts]
         sha = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in got]
         same = [m.decode(x) == t.replace(BLANK, " ") for x, t in zip(got, texts)]
         return [pa.array(list(map(len, got)), pa.int64()), pa.array(sha), pa.array(same)]
 
-    return _map(docs, keep, text_col, "n_ids long, ids_sha256 string, round_trip boolean", one)
+    def part(chunks: list[str]) -> list[bytes]:
+        m = model(path)
+        got = [m.spelled(x) for x in chunks]
+        return [bytes([m.raw(ids) == x.replace(BLANK, " ")]) + np.array(ids, "<i4").tobytes() for ids, x in zip(got, chunks)]
+
+    def joined(parts: list[bytes]) -> tuple:
+        sha = hashlib.sha256()
+        for p in parts:
+            sha.update(memoryview(p)[1:])
+        return sum(len(p) // 4 for p in parts), sha.hexdigest(), all(p[0] for p in parts)
+
+    return by_chunks(docs, keep, text_col, "n_ids long, ids_sha256 string, round_trip boolean", whole, PieceModel.split_text, part, joined, chunk)
 
 
 def _path() -> str:
@@ -235,10 +259,11 @@ def _path() -> str:
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """doc_id, n_ids, ids_sha256, round_trip of every text. A null text is an empty one, of no ids; cases as in encode()."""
     return digests(docs.select("doc_id", "text"), _path(), ["doc_id"])
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
-    """docs with ids and n_ids, the last stage of the pipeline."""
+    """docs with ids and n_ids, the last stage of the pipeline. Cases as in encode(); ids and n_ids are replaced."""
     out = encode(docs, _path(), docs.columns)
     return out.withColumn("n_ids", F.size("ids").cast("bigint"))

@@ -32,6 +32,10 @@ BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9
 KINDS = ("assign", "access", "hex", "bare")
 #: More distinct owners than this hold a value: it is an example.
 OWNERS = 2
+#: So do more distinct repositories: one owner may keep copies in several.
+REPOS = 4
+#: Spans of one value are dealt over so many tasks.
+SALTS = 16
 #: Bits a character from which a bare candidate counts as random.
 RANDOM_BITS = 4.0
 
@@ -95,26 +99,30 @@ def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
     by_owner = once.groupBy("h", "owner").agg(F.sum("n").alias("n"), F.max("a").alias("a"), F.count("*").alias("repos"))
     repos = once.groupBy("h", "repo").agg(F.count("*").alias("x")).groupBy("h").agg(F.count("*").alias("n_repos"))
     owners = by_owner.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_places"), (F.max("a") == 1).alias("assigned"))
-    return owners if repo_col == owner_col else owners.join(repos, "h")
+    return owners.withColumn("n_repos", F.col("n_owners")) if repo_col == owner_col else owners.join(repos, "h")
 
 
-def scan(docs: DataFrame, keep: list[str], repo_col: str = "source", owner_col: str = "source", text_col: str = "text", owners: int = OWNERS) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], repo_col: str = "source", owner_col: str = "source", text_col: str = "text", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """One row per row of docs: keep, spans array<struct<s, k, e, live>> in order.
 
-    A null or empty text has no spans. Repeated rows each give a row and count as one owner. Columns that are not
-    named are not read. Base spans always stay, live or not; bare ones only where they look live.
+    A null or empty text has no spans; an empty table gives no row. Repeated rows each give a row and count as one owner.
+    Columns that are not named are not read. Base spans always stay, live or not; bare ones only where they look live. A
+    value is live where few distinct owners and few distinct repositories hold it.
     """
     cols = list(dict.fromkeys([*keep, repo_col, owner_col]))
     found = cut(candidates(docs, cols, text_col))
-    verdict = ownership(found, repo_col, owner_col).select("h", (F.col("n_owners") <= owners).alias("live"), "assigned")
-    spans = found.where("size(c) > 0").select("rid", F.explode("c").alias("c")).select("rid", "c.*")
-    judged = spans.join(verdict, "h").where("k < 3 or (live and (assigned or r))")
+    verdict = ownership(found, repo_col, owner_col).select("h", ((F.col("n_owners") <= owners) & (F.col("n_repos") <= repos)).alias("live"), "assigned")
+    # a value may be copied into a third of all rows: its spans are dealt over SALTS tasks
+    verdict = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spans = found.where("size(c) > 0").select("rid", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("c").alias("c")).select("rid", "salt", "c.*")
+    judged = spans.join(verdict, ["h", "salt"]).where("k < 3 or (live and (assigned or r))")
     whole = judged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", "live"))).alias("spans"))
     out = found.join(whole, "rid", "left")
     return out.select(*keep, F.coalesce("spans", F.array().cast("array<struct<s:int,k:int,e:int,live:boolean>>")).alias("spans"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base spans, all spans, and n_live. Cases are those of scan(); a null source is one."""
     s = scan(docs.select("doc_id", "text", "source"), ["doc_id"])
     text = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("bigint")

@@ -5,27 +5,25 @@ look-ahead of one character. The second spells a pretoken in merged tokens; from
 compound transition, annotated with the number of tokens that it emits. Transitions are compiled when first met and
 kept in a bounded table.
 
-A chunk of text acts on the transducer as a map of states that is known before the left context is: up to its first
-synchronising cut (a blank between two non-blanks, where every run of the machine stands in the start state) the
-chunk only extends what is pending; from there to its last one it emits a fixed count; what follows is pending again.
-Such maps compose associatively, so a long text is counted chunk by chunk and its maps are combined in a scan.
+Before a white space that follows another character every run of the machine stands in the start state, whatever came
+before. Long texts are split there into chunks, which are rows of their own: the map of such a chunk takes the start state to
+the start state and emits a fixed count, so maps compose by adding, in any order and in any task. A run of characters without
+white space is never split; it lies in one chunk, however long.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import char_ranges, held, map_texts, text_rows
+from brindle.llm.common import CHUNK, by_chunks, char_ranges, held
 from brindle.llm.merging import Merging
 
-#: Characters of a chunk.
-CHUNK = 1 << 16
 #: Most compound transitions held at once.
 TRANSITIONS = 900_000
 #: Fixed value: White_Space.
@@ -52,19 +50,10 @@ class Cutter:
         return self.exact.findall(text)
 
 
-class ChunkMap(NamedTuple):
-    """What a chunk does: head is appended to what is pending; if synced, that is emitted, then count, and tail is pending."""
-
-    head: str
-    synced: bool = False
-    count: int = 0
-    tail: str = ""
-
-
 class CountTransducer(dict):
     """pretoken -> tokens emitted, compiled on demand from a byte-level BPE vocabulary file (.json)."""
 
-    SYNC = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+    SYNC = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -126,32 +115,19 @@ class CountTransducer(dict):
         get = self.__getitem__
         return sum(map(get, self.cutter(text)))
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        first = self.SYNC.search(chunk)
-        if not first:
-            return ChunkMap(chunk)
-        at = len(chunk)
-        while True:  # the last cut: from the right, in growing windows
-            at = chunk.rfind(" ", 1, at)
-            if self.SYNC.match(chunk, at):
-                break
-        return ChunkMap(chunk[: first.start()], True, self.emitted(chunk[first.start() : at]), chunk[at:])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if not b.synced:
-            return ChunkMap(a.head, True, a.count, a.tail + b.head) if a.synced else ChunkMap(a.head + b.head)
-        if not a.synced:
-            return ChunkMap(a.head + b.head, True, b.count, b.tail)
-        return ChunkMap(a.head, True, a.count + self.emitted(a.tail + b.head) + b.count, b.tail)
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return self.emitted(text)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        while len(maps) > 1:  # one level of the scan: neighbours are combined
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
-        return self.emitted(m.head) + m.count + self.emitted(m.tail)
+    def chunks(self, text: str, size: int) -> list[str]:
+        """Chunks of at least size characters, but for the last, cut where the machine stands in its start state."""
+        out, at = [], 0
+        while at < len(text):
+            m = self.SYNC.search(text, at + size) if at + size < len(text) else None
+            end = m.start() if m else len(text)
+            out.append(text[at:end])
+            at = end
+        return out
+
+    def count(self, text: str, size: int = 1 << 15) -> int:
+        """The count of one text, chunk by chunk."""
+        return sum(map(self.emitted, self.chunks(text, size)))
 
 
 def transducer(path: str) -> CountTransducer:
@@ -159,21 +135,32 @@ def transducer(path: str) -> CountTransducer:
     return held(("transducer", path), lambda: CountTransducer(path))
 
 
-def token_counts(docs: DataFrame, vocabulary: str, keep: list[str], text_col: str = "text", limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, keep: list[str], text_col: str = "text", limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
     """keep, n_bytes, n_tokens, over_limit for every row. A null text is an empty one, of no bytes and no tokens.
 
-    Repeated rows, null ids and empty tables need no care here: each row is counted for itself.
+    Repeated rows and null ids are counted each for itself, an empty table gives no row, columns not kept aren't read.
     """
 
-    def count(texts: list[str]) -> dict:
+    def columns(bytes_: list[int], tokens: list[int]) -> list[pa.Array]:
+        return [pa.array(bytes_, pa.int64()), pa.array(tokens, pa.int64()), pa.array([x > limit for x in tokens])]
+
+    def whole(texts: list[str]) -> list[pa.Array]:
+        return columns([len(x.encode("utf-8")) for x in texts], list(map(transducer(vocabulary).emitted, texts)))
+
+    def part(chunks: list[str]) -> list[bytes]:
         t = transducer(vocabulary)
-        n = [t.count(x) for x in texts]
-        return {"n_bytes": pa.array([len(x.encode("utf-8")) for x in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n])}
+        return [struct.pack("<qq", len(x.encode("utf-8")), t.emitted(x)) for x in chunks]
+
+    def joined(parts: list[bytes]) -> tuple:
+        size, n = map(sum, zip(*(struct.unpack("<qq", p) for p in parts)))
+        return size, n, n > limit
 
-    return map_texts(text_rows(docs, text_col, *keep), count, "n_bytes long, n_tokens long, over_limit boolean", keep)
+    split = lambda text, size: transducer(vocabulary).chunks(text, size)
+    return by_chunks(docs, keep, text_col, "n_bytes long, n_tokens long, over_limit boolean", whole, split, part, joined, chunk)
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every text. Cases are those of token_counts()."""
     import public_tokenizers
 
     return token_counts(docs.select("doc_id", "text"), str(public_tokenizers.path("byte_bpe_50k.json")), ["doc_id"])
