@@ -255,14 +255,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], item_col:
     keys = list(renamed.values())
     mine = _windows(docs.select(*id_cols, text_col).withColumnsRenamed(renamed), keys, text_col, sorted(shapes), only).drop("n", "size", "form")
     # what has met is small and used several times; the texts are read once
-    found = cut(_joined(mine, items.drop("size", "form"), n, met).withColumn("diag", F.col("at") - F.col("b_at")))
+    found = cut(_joined(mine, items.drop("size"), n, met).withColumn("diag", F.col("at") - F.col("b_at")))
     # diagonals of one copy, in order, with a new number after each gap
     diags = found.select(*keys, "item_id", "diag").distinct()
     before = Window.partitionBy(*keys, "item_id").orderBy("diag")
     apart = F.coalesce((F.col("diag") - F.lag("diag").over(before) > GAP).cast("int"), F.lit(0))
     copies = diags.withColumn("__new", apart).withColumn("copy", F.sum("__new").over(before)).drop("__new")
     part = [*keys, "item_id"]
-    good = _consistent(found, [*part, "diag"]).drop("diag").union(_consistent(_with(found, copies, [*part, "diag"]), [*part, "copy"]).drop("copy"))
+    wide = _with(found, copies, [*part, "diag"])
+    # a common word that starts sentences may have changed in one place: that is no clash for the item's plain windows alone
+    groups = [_consistent(x.where(which), [*part, by]).drop(by) for x, by in ((found, "diag"), (wide, "copy")) for which in (F.lit(True), F.col("form") != NAMED)]
+    good = reduce(DataFrame.union, groups)
     best = good.groupBy(*part).agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"))
     return best.withColumn("share", F.col("matched") / F.col("windows")).withColumnsRenamed({v: k for k, v in renamed.items()})
 

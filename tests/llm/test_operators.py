@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -295,6 +296,10 @@ def test_op3_cases(spark):
     df = spark.createDataFrame([(i, f"{other} {t} {other}") for i, t in docs], "doc_id long, text string")
     got = decontaminate.op3(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    item = "The red fox ran over one green hill to its den. The old owl sat upon a tall tree and said no word at all to them."
+    near = item.replace("The old owl", "An old owl")  # one word that starts a sentence is another
+    got = decontaminate.op3(spark.createDataFrame([(1, f"{other} {near} {other}")], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)]
 
 
 def test_op2_repositories_and_repeats(spark):
@@ -698,19 +703,20 @@ def brute_matches(text, items):
             continue
         mine = [(f, *w) for f in (1, 2) for w in brute_windows(own, size, f)] or [(0, *w) for w in brute_windows(own, size, 0)]
         total = len({j for _, j, _, _ in mine})
-        met = []
-        for f in {f for f, *_ in mine}:
-            where = {}
+        where = {}
+        for f in (1, 2) if mine and mine[0][0] else (0,):
             for i, h, s in brute_windows(doc, size, f):
                 where.setdefault(h, []).append((i, s))
-            met += [(i - j, j, bs, s) for g, j, h, bs in mine if g == f for i, s in where.get(h, [])]
+        met = [(i - j, j, bs, s, f) for f, j, h, bs in mine for i, s in where.get(h, [])]
         diags = sorted({d for d, *_ in met})
         copy = {}
         for a, b in zip([None, *diags], diags):
             copy[b] = copy[a] + (b - a > decontaminate.GAP) if a is not None else 0
-        for key in (lambda d: ("d", d), lambda d: ("c", copy[d])):
+        for key, forms in itertools.product((lambda d: ("d", d), lambda d: ("c", copy[d])), ((0, 1, 2), (0, 1))):
             groups = {}
-            for d, j, bs, s in met:
+            for d, j, bs, s, f in met:
+                if f not in forms:
+                    continue
                 js, to = groups.setdefault(key(d), (set(), {}))
                 js.add(j)
                 for x, y in zip(bs, s):
