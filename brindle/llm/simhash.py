@@ -11,7 +11,9 @@ indexed once more under all two-wildcard variants of the bits that the run leave
 differ by at most two bits, so a star is exact, and any size of run needs the memory of one row.
 
 Wide fingerprints travel whole. So that few rows do, a segment is dealt by its halves: of segments that differ by at most
-one bit, one half is equal. The wildcard variants of the other half are made in the task, group by group.
+one bit, one half is equal. The wildcard variants of the other half are made in the task, group by group. A group of more than
+BLOCK rows is dealt in blocks: first each block by itself, then, between blocks, what isn't yet connected with the group's
+largest component. No pair is left out but those that are connected already.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from brindle.llm.components import components, forest
 
 #: Longest run that is verified pair by pair (half a million popcounts); longer ones are settled by _two_wildcards or _spread.
 HOT = 1024
+#: Most rows of equal halves that a task settles at once (some 10 MB); more are dealt in blocks of about so many.
+BLOCK = 1 << 16
 #: A component's members are dealt over so many tasks when it is named.
 PARTS = 64
 _U = np.uint64
@@ -275,11 +279,26 @@ def half_keys(fp: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     return (parts | tag).reshape(len(fp), -1), parts[:, :, ::-1].reshape(len(fp), -1)
 
 
-def _linked(group: np.ndarray, other: np.ndarray, fp: np.ndarray, scheme: Scheme) -> np.ndarray:
+def _half_sizes(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """Fingerprints -> (key, n): how many of them have each half. A scheme has so many halves, however many rows there are."""
+    release()
+    high = scheme.width - scheme.width // 2
+    sizes = np.zeros(scheme.segments * 2 << high, np.int64)
+    for b in batches:
+        fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=_U).reshape(b.num_rows, -1)
+        keys, _ = half_keys(fp, scheme)
+        tag = ((keys >> _U(48)) << _U(1)) | ((keys >> _U(40)) & _U(1))
+        sizes += np.bincount(((tag << _U(high)) | (keys & _U((1 << high) - 1))).ravel().astype(np.int64), minlength=len(sizes))
+    own = np.flatnonzero(sizes)
+    tag, value = own >> high, own & ((1 << high) - 1)
+    yield pa.RecordBatch.from_arrays([pa.array(((tag >> 1) << 48) | ((tag & 1) << 40) | value), pa.array(sizes[own])], ["key", "n"])
+
+
+def _linked(group: np.ndarray, other: np.ndarray, fp: np.ndarray, scheme: Scheme, label: np.ndarray | None = None) -> np.ndarray:
     """Label of each row (the offset of its tree's first row): rows of one group whose other halves differ by at most one
     bit, and whose fingerprints differ by at most scheme.distance, are connected. All such pairs are compared but those
-    that are connected already."""
-    label = np.arange(len(group))
+    that are connected already, from the start by label."""
+    label = np.arange(len(group)) if label is None else label
     if not len(group):
         return label
     for wild in range(scheme.width - scheme.width // 2):
@@ -357,18 +376,23 @@ def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np
 
 
 def _wide_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Rows (key, other, node, fp) sorted by key -> verified edges: stars of what is connected within a group."""
+    """Rows (key, other, node, fp, root) sorted by key -> verified edges: stars of what is connected within a group. Rows of
+    one root are connected already."""
     release()
 
-    def settle(key: np.ndarray, other: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        label = _linked(key, other, fp, scheme)
-        own = np.flatnonzero(label != np.arange(len(label)))
+    def settle(key: np.ndarray, other: np.ndarray, node: np.ndarray, root: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((root, key))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (root[order][1:] != root[order][:-1])])
+        start = np.empty(len(key), np.int64)
+        start[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        label = _linked(key, other, fp, scheme, start)
+        own = np.flatnonzero(label != start)
         u, v = node[own], node[label[own]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v).view(np.int64)), pa.array(np.minimum(u, v).view(np.int64))], ["u", "v"])
 
     held: list[list[np.ndarray]] = []
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False).view(_U) for c in ("key", "other", "node")]
+        cols = [b.column(c).to_numpy(zero_copy_only=False).view(_U) for c in ("key", "other", "node", "root")]
         if not len(cols[0]):
             continue
         cols.append(np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=_U).reshape(b.num_rows, -1))
@@ -382,6 +406,38 @@ def _wide_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa
         yield settle(*map(np.concatenate, zip(*held)))
 
 
+def _wide_links(rows: DataFrame, many: DataFrame, scheme: Scheme, block: int) -> DataFrame:
+    """Rows (key, other, node, fp) -> verified links (u, v). many: (key, n) of the groups of more than `block` rows; there are
+    at most as many as a scheme has halves, so they may be sent to all tasks.
+
+    A node lies in other blocks under another half, so that the blocks of one large group of copies are mostly connected
+    after the first pass. In the second a block meets only blocks of the rows that lie outside the largest component.
+    """
+
+    def settled(x: DataFrame) -> DataFrame:
+        x = x.select("key", "other", "node", "root", "fp")
+        return x.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _wide_runs(it, scheme), "u long, v long")
+
+    if many.isEmpty():
+        return settled(rows.withColumn("root", F.col("node")))
+    blocks = lambda n: F.ceil(n / F.lit(block))
+    place = lambda n: F.pmod(F.xxhash64("node", "key"), n)
+    name = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)  # noqa: E731  (keys aren't negative: tasks see them sorted as unsigned)
+    dealt = rows.join(F.broadcast(many), "key", "left").withColumn("root", F.col("node"))
+    alone = F.when(F.col("n").isNull(), F.col("key")).otherwise(name("key", place(blocks(F.col("n")))))
+    first = cut(settled(dealt.withColumn("key", alone)))
+    held = rows.join(F.broadcast(many.select("key")), "key").join(components(first), "node", "left")
+    held = cut(held.withColumn("root", F.coalesce("root", "node")))
+    size = held.groupBy("key", "root").agg(F.count("*").alias("m"))
+    largest = size.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
+    largest = largest.select("key", F.col("most.root").alias("top"), blocks(F.col("n")).alias("a"), blocks(F.col("n") - F.col("most.m")).alias("b")).where("b > 0")
+    held = held.join(F.broadcast(largest), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    whole = held.withColumn("i", place(F.col("a"))).withColumn("j", every("b"))
+    rest = held.where("root <> top").withColumn("j", place(F.col("b"))).withColumn("i", every("a"))
+    return first.union(settled(whole.unionByName(rest).withColumn("key", name("key", "i", "j"))))
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Distinct nodes (node, check, fp) -> verified links (u, v) that connect what is to be connected."""
     full = scheme.lanes == 1 and scheme.segments == 2 and scheme.distance == 2
@@ -402,8 +458,10 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(others.ravel().view(np.int64)), b.column("node").take(i), b.column("fp").take(i)], ["key", "other", "node", "fp"])
 
     if not full:
+        sizes = nodes.select("fp").mapInArrow(lambda it: _half_sizes(it, scheme), "key long, n long")
+        many = cut(sizes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK))
         rows = nodes.select("node", "fp").mapInArrow(emit, "key long, other long, node long, fp binary")
-        return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _wide_runs(it, scheme), "u long, v long").distinct()
+        return _wide_links(rows, many, scheme, BLOCK).distinct()
     limit, cap = scheme.distance, HOT
     variants = nodes.select("node", "check", "fp").mapInArrow(emit, "key long, node long, check long")
     found = variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, limit, cap, _stars_of), "u long, v long, hot long")

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -160,6 +161,25 @@ def test_wide_links_of_scattered_copies(spark):
     assert len(set(zip(want, wide_groups(spark, fps)))) == len(set(want)) > 1
 
 
+@pytest.mark.parametrize(("block", "least", "most"), [(3, 0.06, 0.17), (40, 0.06, 0.17), (40, 0.12, 0.165), (40, 0.01, 0.05)])
+def test_wide_links_of_large_groups_by_blocks(spark, monkeypatch, block, least, most):
+    """Groups of equal halves beyond BLOCK rows, dealt in blocks: the same result as with all pairs compared."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = np.random.default_rng(8)
+    n = 60 if block == 3 else 500
+    fps = np.concatenate([copies(rnd, n, least, most), copies(rnd, 40, 0.02, 0.1), rnd.integers(0, 1 << 63, (40, 5)).astype(np.uint64)])
+    want = groups_of(len(fps), wide_links(fps))
+    assert len(set(zip(want, wide_groups(spark, fps)))) == len(set(want)) > 1
+
+
+def test_half_sizes():
+    fps = copies(np.random.default_rng(9), 50, 0.01, 0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in fps], pa.binary())], ["fp"])
+    got = next(simhash._half_sizes(iter([batch, batch]), simhash.FIVE_WORDS)).to_pydict()
+    keys, n = np.unique(simhash.half_keys(fps, simhash.FIVE_WORDS)[0], return_counts=True)
+    assert dict(zip(got["key"], got["n"])) == dict(zip(keys.tolist(), (2 * n).tolist()))
+
+
 def test_wide_links_of_long_runs(spark, monkeypatch):
     """Runs beyond HOT: as many groups as with all pairs of the runs verified."""
     monkeypatch.setattr(simhash, "HOT", 8)
