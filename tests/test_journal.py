@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.operators.journal import Journal
@@ -194,3 +196,56 @@ def test_builder_against_python(spark):
         got = [Key.of(r) for r in q.collect()]
         want = sorted(Key(r[0], r[1], r[2], r[3]) for r in rows if q.matches([(f["name"], f["value"]) for f in r[-1]]))
         assert got == want
+
+
+@pytest.mark.parametrize("kw", syn.LAYOUTS)
+def test_long_files_in_bounded_memory(spark, tmp_path, monkeypatch, kw):
+    """Batches, forgotten DATA objects and lists in many arrays; a prefix keeps its place; scans are dealt by slots."""
+    import tracemalloc
+
+    from brindle.sources import datasource
+
+    monkeypatch.setattr(syn, "BATCH", 64)
+    monkeypatch.setattr(syn, "HELD", 100)
+    monkeypatch.setattr(syn, "PENDING", 200)
+    fields = [[("A", b"1"), ("PID", str(i).encode()), ("B", str(i % 390).encode()), ("A", b"1")][: i % 5] for i in range(1000)]
+    heads = [(i + 1, syn.BASE + i, i, syn.ident(i), i) for i in range(1000)]
+    p, short = f"{tmp_path}/synthetic.journal", f"{tmp_path}/short"
+    for path, n in ((p, 1000), (short, 300)):
+        syn.write(path, entries=fields[:n], heads=heads[:n], first_array=4, buckets=8, **kw)
+    with JournalFile(p) as f, JournalFile(short) as g:
+        rows = list(f.entries())
+        assert [r[-1] for r in rows] == fields and [r[1] for r in rows] == list(range(1, 1001))
+        assert [r[3] for r in g.entries()] == [r[3] for r in rows[:300]]
+        assert len(f.data_objects(b"B=3")) > 1
+        for text in (b"A=1", b"B=3", b"PID=77", b"PID=none"):
+            name, value = text.split(b"=")
+            held = [(name.decode(), value) in x for x in fields]
+            assert f.lookup(text) == {r[3] for r, x in zip(rows, held) if x}
+            assert sum(n for n, _, _ in f.data_objects(text)) == sum(held)
+    monkeypatch.setattr(datasource, "SLOTS", 300)
+    parts = datasource.BatchReader({"path": str(tmp_path)})
+    assert [(x.start, x.end) for x in parts.partitions()] == [(0, 300), (300, 600), (600, 900), (900, None)]
+    assert [y for x in parts.partitions() for b in parts.read(x) for y in b.column("seqnum").to_pylist()] == list(range(1, 1001))
+    monkeypatch.setattr(syn, "BATCH", 1024)
+    monkeypatch.setattr(syn, "HELD", 2048)
+    monkeypatch.setattr(syn, "PENDING", 4096)
+    most = []
+    for n in (8, 40):  # five times as many entries need no more memory
+        tracemalloc.start()
+        with_ids = syn.Writer(p, (syn.ident(1),) * 3, syn.ident(2), buckets=64, **kw)
+        for k in range(n):
+            numbers = np.arange(k * 1024, (k + 1) * 1024)
+            with_ids.add((numbers, numbers, numbers, bytes(16 * 1024), numbers), np.arange(1025), pa.array([b"PID=%d" % i for i in numbers], pa.binary()))
+        with_ids.close((1, n * 1024, 0, 0))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.3 * most[0]
+
+
+def test_many_hashes():
+    from brindle.functions.hashes import jenkins64, jenkins64_many, siphash24, siphash24_many
+
+    xs = [bytes((i * 7 + k) % 256 for k in range(n)) for n in range(40) for i in (1, 2)]
+    assert siphash24_many(syn.ident(3), xs).tolist() == [siphash24(syn.ident(3), x) for x in xs]
+    assert jenkins64_many(xs).tolist() == [jenkins64(x) for x in xs]
