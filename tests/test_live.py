@@ -6,7 +6,7 @@ import pytest
 
 from brindle.operators.journal import Journal
 from brindle.plans.cursor import Cursor
-from brindle.plans.model import Corrupt, InvalidQuery, LimitExceeded, Limits, Transient
+from brindle.plans.model import Corrupt, InvalidQuery, JournalError, LimitExceeded, Limits, Transient
 from brindle.plans.predicates import Filter
 from brindle.sources import synthetic as syn
 from brindle.streaming.live import Closed, LiveJournal, Subscription
@@ -243,3 +243,55 @@ def test_run_ends_with_its_subscriptions(open_live, put):
     assert asyncio.run(two()) == [(7, 1), (7, 2)]
     t.join(60)
     assert not t.is_alive()
+
+
+def test_a_failure_is_no_result(spark, tmp_path, put):
+    put([A])
+    live = LiveJournal.open_dir(spark, str(tmp_path), Limits(max_live_batch_entries=4, live_channel_capacity=4), mode="FAILFAST")
+    try:
+        live.subscribe(unit(A))
+        put([A] * 3)
+        raw = bytearray((tmp_path / "synthetic.journal").read_bytes())
+        raw[int.from_bytes(raw[176:184], "little")] = 0  # no entry array
+        (tmp_path / "synthetic.journal").write_bytes(raw)
+        with pytest.raises(Exception, match="corrupt journal"):
+            for _ in range(10):
+                live.poll_once()
+    finally:
+        live.stop()
+
+
+def test_a_stream_that_ended_is_no_silence(open_live, put):
+    put([A])
+    live = open_live()
+    live.subscribe(unit(A))
+    live.query.stop()
+    put([A] * 3)
+    with pytest.raises(JournalError):
+        live.poll_once()
+
+
+def test_batches_without_a_match_are_no_end(open_live, put):
+    put([A])
+    live = open_live(1, 1)
+    s = live.subscribe(unit(B))
+    put([A] * 6 + [B])
+    got = []
+    while live.pending():
+        live.poll_once()
+        while (r := s.try_recv()) is not None:
+            got.append(place(r))
+    assert got == [(7, 6)]
+
+
+def test_a_replay_is_sorted_once(open_live, put, monkeypatch):
+    put([A] * 9)
+    live = open_live(2, 2)
+    asked, entries = [], live.journal.entries
+    monkeypatch.setattr(live.journal, "entries", lambda **kw: asked.append(kw) or entries(**kw))
+    s, got = live.subscribe_from(unit(A)), []
+    while live.pending():
+        live.poll_once()
+        while (r := s.try_recv()) is not None:
+            got.append(place(r)[1])
+    assert got == list(range(9)) and len(asked) == 1
